@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["topn"]
+_MODULES = ["topn", "terms", "setjoin"]
 
 
 def queries() -> dict:
