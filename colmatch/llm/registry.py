@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["topn", "terms", "setjoin"]
+_MODULES = ["topn", "terms", "setjoin", "bpe"]
 
 
 def queries() -> dict:
