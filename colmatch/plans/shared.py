@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the session has cores; unchanged if it has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver was started."""
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
