@@ -21,6 +21,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colmatch.plans.shared import spread
+
 # The split pattern of the vocabulary, with white space as Unicode has it.
 _W, _L, _N = r"\p{IsWhite_Space}", r"\p{L}", r"\p{N}"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?[^{_W}{_L}{_N}]+|{_W}+(?![^{_W}])|{_W}+"
@@ -138,6 +140,7 @@ def encode(df: DataFrame, text: str, path: str | None = None, ids: str = "ids",
     are encoded, however long.
     """
     path = path or vocabulary_path()
+    df = spread(df)
     known = frequent_words(df, text, path, dictionary_words) if dictionary_words else {}
     return df.withColumn(ids, F.flatten(_ids_of(split_words(F.col(text)), path, known)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["topn", "terms", "setjoin", "bpe"]
+_MODULES = ["topn", "terms", "setjoin", "bpe", "language"]
 
 
 def queries() -> dict:
