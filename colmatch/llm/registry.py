@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["topn", "terms", "entities", "setjoin", "bpe", "language"]
+_MODULES = ["topn", "terms", "entities", "setjoin", "bpe", "packing", "language"]
 
 
 def queries() -> dict:
