@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colmatch.plans import prepared
+from colmatch.plans import matching, prepared
 
-_MODULES = [prepared]
+_MODULES = [matching, prepared]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p2_found"](spark, sf_dir)
+    return matching.jaccard_exact(spark, sf_dir)
 
 
 def queries() -> dict:
