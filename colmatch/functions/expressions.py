@@ -76,10 +76,10 @@ def trigram_similarity(a: Column, b: Column) -> Column:
         n = F.char_length(low)
         return F.when(n < 3, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
 
-    p, q = grams(a), grams(b)
     count = lambda xs, g: F.size(F.filter(xs, lambda y: y == g))
-    shared = F.aggregate(F.array_intersect(p, q), F.lit(0), lambda acc, g: acc + F.least(count(p, g), count(q, g)))
-    return (F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(2 * shared / (F.size(p) + F.size(q))))
+    dice = let(grams(a), lambda p: let(grams(b), lambda q: 2 * F.aggregate(
+        F.array_intersect(p, q), F.lit(0), lambda acc, g: acc + F.least(count(p, g), count(q, g))) / (F.size(p) + F.size(q))))
+    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(dice)
 
 
 def tversky(shared_a: Column, n_a: Column, shared_b: Column, n_b: Column, alpha: float, beta: float) -> Column:
@@ -97,13 +97,20 @@ def float_cutoff(threshold: float) -> float:
     return float(np.float32(threshold))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit_vector(v: Column) -> Column:
     """Scaled by the largest magnitude, then to length 1; null for zero and non-finite vectors."""
     top = F.aggregate(v, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double"))))
-    scaled = F.transform(v, lambda x: x.cast("double") / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    fine = (top > 0) & (top < float("inf")) & ~F.isnan(top)
-    return F.when(fine, F.transform(scaled, lambda x: x / norm))
+
+    def shortened(t: Column) -> Column:
+        return let(F.transform(v, lambda x: x.cast("double") / t), lambda scaled: let(
+            F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(scaled, lambda x: x / norm)))
+
+    return let(top, lambda t: F.when((t > 0) & (t < float("inf")) & ~F.isnan(t), shortened(t)))
 
 
 def cosine(a: Column, b: Column) -> Column:
