@@ -46,9 +46,11 @@ _ENDS = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|(?<=[。！？])\s*")
 _LINK = re.compile(r"\S*://\S+|\bwww\.\S+")
 _QUOTED = re.compile("\"[^\"]{0,200}\"|«[^»]{0,200}»|“[^”]{0,200}”|„[^“”]{0,200}[“”]|`[^`]{0,200}`|「[^」]{0,200}」")
 _LATIN = "A-Za-zÀ-ɏ"
-_NAME = re.compile(rf"[{_LATIN}0-9]*[a-zß-ÿ][{_LATIN}0-9]*[A-Z][{_LATIN}0-9]*|[{_LATIN}0-9]+(?:[_.][{_LATIN}0-9]+)+|[A-Z0-9]+-[0-9]+|[{_LATIN}]*[0-9][{_LATIN}0-9]*")
+# runs of Latin letters and digits with what may join them, or letters of another script
+_RUN = re.compile(rf"[{_LATIN}0-9_]+(?:[.\-'’][{_LATIN}0-9_]+)*|[Ͱ-῿Ⰰ-⿿々〆ぁ-ヺー-㆏ㆠ-퟿豈-﷿ﹰ-ﻼｦ-ￜ]+")
+_CAMEL = re.compile("[a-zß-ÿ].*[A-Z]")
+_MARKED = re.compile("[0-9_.]")
 _JUNK = re.compile(r"^\s*(?:[\[{<].*[\]}>]\s*|\|.*|.*\|\s*|\[\d+\].*|[-=*_#~\s]+|(?:[0-9a-f]{6,}\s*)+|[^;]*(?:;[^;\s]*){2,}|.*\t.*)$")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CACHED_WORDS = 200_000
 _LETTERS = 8  # a sentence has two words and so many letters, or four characters of a script without spaces
 
@@ -75,13 +77,13 @@ def clean(text: str) -> str:
     return re.sub("[­​-‏⁠﻿️]", "", text)
 
 
-def sentences(text: str | None) -> list[str]:
-    """The sentences of a text in order; code, table rows, links and numbers left out."""
+def parsed(text: str | None) -> list[tuple[str, list[str]]]:
+    """The sentences of a text in order, each with its words; code, table rows, links and numbers left out."""
     if not text:
         return []
     lines = []
     for line in _BREAKS.split(clean(text)):
-        bare = _LINK.sub(" ", line)
+        bare = _LINK.sub(" ", line) if "www." in line or "://" in line else line
         if bare.strip() and not _JUNK.match(bare):
             lines.append(bare.strip())
         elif line.strip() and lines and lines[-1][-1:] not in ".!?…。！？":
@@ -90,14 +92,23 @@ def sentences(text: str | None) -> list[str]:
     for part in _ENDS.split(" ".join(lines)):
         found = words(part) if part else []
         if len(found) > 1 and sum(map(len, found)) >= _LETTERS or any(len(w) > 3 and ord(w[0]) > 0x2E7F for w in found):
-            out.append(part)
+            out.append((part, found))
     return out
 
 
+def sentences(text: str | None) -> list[str]:
+    return [s for s, _ in parsed(text)]
+
+
 def words(sentence: str) -> list[str]:
     """The words of a sentence without names and labels, in lower case."""
-    bare = _NAME.sub(" ", _QUOTED.sub(" ", sentence))
-    return [w.lower() for w in _WORD.findall(bare) if len(w) > 1 or ord(w) > 0x2E7F]
+    bare = _QUOTED.sub(" ", sentence) if any(q in sentence for q in "\"«“„`「") else sentence
+    out = []
+    for run in _RUN.findall(bare):
+        if run.islower() or run.isupper() or not _CAMEL.search(run):
+            if not _MARKED.search(run):
+                out += [w.lower() for w in run.split("-") if len(w) > 1 or w and ord(w) > 0x2E7F]
+    return out
 
 
 class Model:
@@ -148,8 +159,15 @@ class Model:
                 self._cache[w] = found
         return found
 
+    def score(self, found: list[str]) -> np.ndarray:
+        """The log-likelihoods of a sentence's words."""
+        total = np.zeros(len(self.langs))
+        for w in found:
+            total += self.word(w)
+        return total
+
     def sentence(self, s: str) -> np.ndarray:
-        return np.sum([self.word(w) for w in words(s)], axis=0)
+        return self.score(words(s))
 
 
 def mixture(loglik: np.ndarray, penalty: float = 8.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -194,10 +212,15 @@ def mixture(loglik: np.ndarray, penalty: float = 8.0, rounds: int = 50) -> tuple
 
 def stretches(model: Model, text: str | None, penalty: float = 8.0) -> list[tuple[str, float, int]]:
     """(language, confidence, sentences) of each stretch of a text, in order."""
-    found = sentences(text)
+    found = parsed(text)
     if not found:
         return []
-    pi, post = mixture(np.array([model.sentence(s) for s in found]), penalty)
+    loglik = np.array([model.score(w) for _, w in found])
+    if (loglik.argmax(axis=1) == loglik[0].argmax()).all():  # one language leads throughout: nothing to weigh up
+        k = int(loglik[0].argmax())
+        tilt = loglik.sum(axis=0) - loglik[:, k].sum()
+        return [(model.langs[k], float(1 / np.exp(np.minimum(tilt, 700)).sum()), len(found))]
+    pi, post = mixture(loglik, penalty)
     single = int((pi > 0).sum()) == 1
     out: list[list] = []
     for p in post:
@@ -231,11 +254,11 @@ def fit(df: DataFrame, samples: DataFrame, id_col: str, text: str, label: str, f
             found: Counter = Counter()
             for t, label in zip(b.iloc[:, 0], b.iloc[:, 1]):
                 lang = label_language(label)
-                for s in sentences(t)[:fit_sentences]:
-                    v = first.sentence(s)
+                for _, found_words in parsed(t)[:fit_sentences]:
+                    v = first.score(found_words)
                     k = int(v.argmax())
                     if first.langs[k] == lang and v[k] - np.delete(v, k).max(initial=-np.inf) > margin:
-                        found.update((lang, w) for w in words(s))
+                        found.update((lang, w) for w in found_words)
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
 
     for r in spread(picked).mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
