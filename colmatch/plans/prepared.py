@@ -18,7 +18,7 @@ LEVELS = [
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parties and document references of every event of every message."""
     m = table(spark, sf_dir, "raw_messages").select("message_id", nested.parse(F.col("payload")).alias("doc"))
-    events = nested.explode_level(m.where(F.col("doc").isNotNull()), nested.records(F.col("doc"), "events"), "event_pos", "event").drop("doc")
+    events = nested.explode_level(m, nested.records(F.col("doc"), "events"), "event_pos", "event").drop("doc")
     rows = nested.child_rows(events, "event", LEVELS)
     return rows.select("message_id", "event_pos", "kind", "item_pos", F.col("value").alias("code_value"))
 
