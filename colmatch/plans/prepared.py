@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmatch.operators import drift, nested
-from colmatch.plans.shared import table
+from colmatch.plans.shared import spread, table
 
 LEVELS = [
     ("party", "$.eventRouting.originatingParties", "partyCode"),
@@ -17,7 +17,7 @@ LEVELS = [
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parties and document references of every event of every message."""
-    m = table(spark, sf_dir, "raw_messages").select("message_id", nested.parse(F.col("payload")).alias("doc"))
+    m = spread(table(spark, sf_dir, "raw_messages").select("message_id", "payload")).select("message_id", nested.parse(F.col("payload")).alias("doc"))
     events = nested.explode_level(m, nested.records(F.col("doc"), "events"), "event_pos", "event").drop("doc")
     rows = nested.child_rows(events, "event", LEVELS)
     return rows.select("message_id", "event_pos", "kind", "item_pos", F.col("value").alias("code_value"))
