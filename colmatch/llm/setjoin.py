@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colmatch.plans.shared import materialize
+from colmatch.plans.shared import materialize, spread
 from colmatch.plans.skew import join_counted
 
 
@@ -87,7 +87,7 @@ def similar_rows(df: DataFrame, id_col: str, block_col: str, samples: str, num:
     different blocks are pairs; rows of one block never meet, however many there
     are. Extra columns are ignored.
     """
-    s = df.select(F.col(id_col).alias("id"), F.to_json(F.struct(F.col(block_col))).alias("block"), value_set(F.col(samples)).alias("values")).where(F.size("values") >= min_size)
+    s = spread(df.select(id_col, block_col, samples)).select(F.col(id_col).alias("id"), F.to_json(F.struct(F.col(block_col))).alias("block"), value_set(F.col(samples)).alias("values")).where(F.size("values") >= min_size)
     s = s.withColumn("cid", F.unhex(F.substring(F.sha2(F.to_json("values"), 256), 1, 32)))
     classes = materialize(s.groupBy("cid").agg(F.first("values").alias("values")), "classes")
     members = materialize(s.select("cid", "block", "id"), "members")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmatch.plans.shared import materialize
+from colmatch.plans.shared import materialize, spread
 from colmatch.plans.skew import join_counted
 
 
@@ -31,7 +31,8 @@ def term_weights(df: DataFrame, id_col: str, samples: str, method: str = "residu
     """
     if method not in ("residual", "tfidf"):
         raise ValueError(f"method: {method}")
-    tf = (df.select(F.col(id_col).alias("__id"), F.explode(terms_of(F.col(samples))).alias("term"))
+    slim = spread(df.select(F.col(id_col).alias("__id"), F.col(samples).alias("__samples")))
+    tf = (slim.select("__id", F.explode(terms_of(F.col("__samples"))).alias("term"))
             .groupBy("__id", "term").agg(F.count(F.lit(1)).alias("tf")))
     tf = materialize(tf, "tf")
     totals = tf.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()
