@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colmatch.functions.expressions import let
 from colmatch.operators.tree_edit import FORBIDDEN, Node, edit_script
 from colmatch.plans.shared import materialize
 
@@ -90,39 +91,43 @@ def value_evidence(pairs: DataFrame, rows: DataFrame, least_distinct: float = 0.
     p = (pairs.withColumn("lost", F.array_except(names(F.col("before")), names(F.col("after"))))
               .withColumn("new", F.array_except(names(F.col("after")), names(F.col("before"))))
               .where((F.size("lost") > 0) & (F.size("new") > 0)))
-    sides = (p.select(F.col("prev_id").alias("of_file"), "file_id", F.lit(0).alias("side"), F.col("before").alias("header"), F.array_intersect(names(F.col("before")), names(F.col("after"))).alias("kept"), F.col("lost").alias("odd"))
-              .unionByName(p.select(F.col("file_id").alias("of_file"), "file_id", F.lit(1).alias("side"), F.col("after").alias("header"), F.array_intersect(names(F.col("before")), names(F.col("after"))).alias("kept"), F.col("new").alias("odd"))))
-    r = rows.select(F.col("file_id").alias("of_file"), "cells").where(F.col("cells").isNotNull()).distinct()
-    r = r.withColumn("row_key", F.xxhash64("of_file", "cells"))
-    cells = (sides.join(r, "of_file")
-                  .select("file_id", "side", "row_key", "kept", "odd",
-                          F.explode(F.transform("header", lambda h: F.struct(h["name"].alias("name"), plain_value(F.get(F.col("cells"), h["pos"]), h["type"]).alias("value"), h["type"].alias("type")))).alias("c"))
-                  .where(F.col("c.value").isNotNull() & (F.col("c.value") != "")))
-    cells = materialize(cells.select("file_id", "side", "row_key", "c.name", "c.value", "c.type", F.array_contains("kept", F.col("c.name")).alias("is_kept")), "cells")
-    kept = cells.where("is_kept").select("file_id", "side", "row_key", "name", F.xxhash64("value").alias("value"))
-    keen = (kept.groupBy("file_id", "side", "name").agg((F.approx_count_distinct("value") >= least_distinct * F.count(F.lit(1))).alias("keen"))
-                .groupBy("file_id", "name").agg(F.min("keen").alias("keen"), F.count(F.lit(1)).alias("n")).where("keen and n = 2").select("file_id", "name"))
-    kept = kept.join(keen, ["file_id", "name"])
-    a = kept.where("side = 0").select("file_id", "name", "value", F.col("row_key").alias("row_a"))
-    b = kept.where("side = 1").select("file_id", "name", "value", F.col("row_key").alias("row_b"))
+    kept = F.array_intersect(names(F.col("before")), names(F.col("after")))
+    sides = (p.select(F.col("prev_id").alias("of_file"), "file_id", F.lit(0).alias("side"), F.col("before").alias("header"), kept.alias("kept"), F.col("lost").alias("odd"))
+              .unionByName(p.select(F.col("file_id").alias("of_file"), "file_id", F.lit(1).alias("side"), F.col("after").alias("header"), kept.alias("kept"), F.col("new").alias("odd"))))
+
+    def cell(h: Column) -> Column:  # hashes of the value and of its day, null for an empty cell
+        v = plain_value(F.get(F.col("cells"), h["pos"]), h["type"])
+        return let(v, lambda x: F.struct(h["name"].alias("name"), F.when(x != "", F.xxhash64(x)).alias("v"),
+                                         F.when(h["type"].isin("date", "timestamp"), F.xxhash64(F.substring(x, 1, 10))).alias("day"), h["type"].alias("type")))
+
+    of = rows.select(F.col("file_id").alias("of_file"), "cells").where(F.col("cells").isNotNull())
+    told = (sides.join(of, "of_file")
+                 .select("file_id", "side", F.xxhash64("of_file", "cells").alias("row_key"), "kept", "odd", F.transform("header", cell).alias("cells"))
+                 .select("file_id", "side", "row_key",
+                         F.transform(F.filter("cells", lambda c: F.array_contains("kept", c["name"]) & c["v"].isNotNull()), lambda c: F.struct(F.xxhash64(c["name"]).alias("name"), c["v"].alias("value"))).alias("kept"),
+                         F.transform("odd", lambda n: F.get(F.filter("cells", lambda c: c["name"] == n), F.lit(0)).dropFields("name")).alias("odd"))
+                 .dropDuplicates(["file_id", "side", "row_key"]))
+    told = materialize(told, "cells")
+    values = told.select("file_id", "side", "row_key", F.inline("kept"))
+    keen = (values.groupBy("file_id", "side", "name").agg((F.approx_count_distinct("value") >= least_distinct * F.count(F.lit(1))).alias("keen"))
+                  .groupBy("file_id", "name").agg(F.min("keen").alias("keen"), F.count(F.lit(1)).alias("n")).where("keen and n = 2").select("file_id", "name"))
+    values = values.join(keen, ["file_id", "name"])
+    a = values.where("side = 0").select("file_id", "name", "value", F.col("row_key").alias("row_a"))
+    b = values.where("side = 1").select("file_id", "name", "value", F.col("row_key").alias("row_b"))
     votes = a.join(b, ["file_id", "name", "value"]).groupBy("file_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("votes"))
-    best = Window.partitionBy("file_id", "row_b").orderBy(F.desc("votes"), "row_a")
-    aligned = votes.withColumn("r", F.row_number().over(best)).where("r = 1 and votes >= 2").select("file_id", "row_a", "row_b")
-    odd = cells.where("not is_kept")
-    before = odd.where("side = 0").select("file_id", F.col("row_key").alias("row_a"), F.struct("name", "value", "type").alias("x"))
-    after = odd.where("side = 1").select("file_id", F.col("row_key").alias("row_b"), F.struct("name", "value", "type").alias("y"))
+    best = votes.groupBy("file_id", "row_b").agg(F.max_by("row_a", F.struct("votes", "row_a")).alias("row_a"), F.max("votes").alias("votes"))
+    aligned = best.where("votes >= 2").select("file_id", "row_a", "row_b")
+    met = (aligned.join(told.where("side = 0").select("file_id", F.col("row_key").alias("row_a"), F.col("odd").alias("xs")), ["file_id", "row_a"])
+                  .join(told.where("side = 1").select("file_id", F.col("row_key").alias("row_b"), F.col("odd").alias("ys")), ["file_id", "row_b"]))
+    each = F.flatten(F.transform("xs", lambda x, i: F.transform("ys", lambda y, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y")))))
     x, y = F.col("x"), F.col("y")
-    time = lambda v: (v["type"] == "timestamp") | (v["type"] == "date")
-    days = time(x) & time(y) & (x["type"] != y["type"]) & (F.substring(x["value"], 1, 10) == F.substring(y["value"], 1, 10))
-    met = aligned.join(before, ["file_id", "row_a"]).join(after, ["file_id", "row_b"])
-    counted = met.groupBy("file_id", x["name"].alias("before"), y["name"].alias("after")).agg(
-        F.count_if((x["value"] == y["value"]) | days).alias("same"), F.count(F.lit(1)).alias("both"))
-    filled = (aligned.join(before, ["file_id", "row_a"]).select("file_id", F.lit(0).alias("side"), x["name"].alias("name"))
-              .unionByName(aligned.join(after, ["file_id", "row_b"]).select("file_id", F.lit(1).alias("side"), y["name"].alias("name")))
-              .groupBy("file_id", "side", "name").agg(F.count(F.lit(1)).alias("n")))
-    counted = (counted.join(filled.where("side = 0").select("file_id", F.col("name").alias("before"), F.col("n").alias("n_before")), ["file_id", "before"])
-                      .join(filled.where("side = 1").select("file_id", F.col("name").alias("after"), F.col("n").alias("n_after")), ["file_id", "after"]))
-    return counted.groupBy("file_id").agg(F.collect_list(F.struct("before", "after", "same", "both", "n_before", "n_after")).alias("evidence"))
+    days = (x["type"] != y["type"]) & (x["day"] == y["day"])
+    counted = met.select("file_id", F.inline(each)).groupBy("file_id", "i", "j").agg(
+        F.count_if((x["v"] == y["v"]) | F.coalesce(days, F.lit(False))).alias("same"), F.count_if(x["v"].isNotNull() & y["v"].isNotNull()).alias("both"),
+        F.count(x["v"]).alias("n_before"), F.count(y["v"]).alias("n_after")).where("both > 0")
+    named = counted.join(p.select("file_id", "lost", "new"), "file_id").select("file_id", F.struct(
+        F.get("lost", F.col("i")).alias("before"), F.get("new", F.col("j")).alias("after"), "same", "both", "n_before", "n_after").alias("e"))
+    return named.groupBy("file_id").agg(F.collect_list("e").alias("evidence"))
 
 
 def _scripts(agree: float):
