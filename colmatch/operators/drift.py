@@ -58,10 +58,10 @@ def field_type(name: Column) -> Column:
 def plain_value(value: Column, kind: Column) -> Column:
     """A cell apart from its way of writing: numbers without trailing zeros, times without a zero clock."""
     v = F.lower(F.trim(value))
-    number = F.when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$"), F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"^\+", ""), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
-    number = F.regexp_replace(number, r"^(-?)0+([0-9])", "$1$2")
-    science = F.when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?e[+-]?[0-9]+$"), v.try_cast("double").try_cast("decimal(38,6)").cast("string"))
-    science = F.regexp_replace(F.regexp_replace(science, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    short = lambda x: F.when(x.contains("."), F.regexp_replace(x, r"(?:\.0*|(\.[0-9]*?)0+)$", "$1")).otherwise(x)
+    bare = F.when(F.substring(v, 1, 1).isin("+", "-", "0"), F.regexp_replace(F.regexp_replace(v, r"^\+", ""), r"^(-?)0+([0-9])", "$1$2")).otherwise(v)
+    number = F.when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$"), short(bare))
+    science = F.when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?e[+-]?[0-9]+$"), short(v.try_cast("double").try_cast("decimal(38,6)").cast("string")))
     clock = F.when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[t ][0-9:.]+z?$"), F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "t", " "), r"z$", ""), r"( 00:00(:00)?)?(\.0+)?$", ""))
     truth = F.when(kind == "boolean", F.when(v.isin("true", "t", "yes", "y", "1"), F.lit("true")).when(v.isin("false", "f", "no", "n", "0"), F.lit("false")))
     return F.coalesce(truth, number, science, clock, v)
@@ -77,7 +77,8 @@ def current_extracts(files: DataFrame) -> DataFrame:
 def headers(files: DataFrame) -> DataFrame:
     """file_id, header: array of (name, type, pos) by first occurrence of each name."""
     numbered = F.transform("declared_fields", lambda x, i: F.struct(field_name(x["name"]).alias("name"), field_type(x["data_type"]).alias("type"), i.alias("pos")))
-    first = F.filter(numbered, lambda x: x["pos"] == F.array_position(F.transform(numbered, lambda y: y["name"]), x["name"]).cast("int") - 1)
+    first = let(numbered, lambda all_: let(F.transform(all_, lambda y: y["name"]), lambda names: F.filter(
+        all_, lambda x: x["pos"] == F.array_position(names, x["name"]).cast("int") - 1)))
     return files.select("file_id", first.alias("header"))
 
 
