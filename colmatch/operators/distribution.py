@@ -43,6 +43,7 @@ def value_ranks(p: Profile) -> DataFrame:
 
 def column_ranks(p: Profile) -> DataFrame:
     """col_id, value, rank, n."""
+    p = Profile(p.columns, materialize(p.counts, "counts"))  # read twice
     return p.counts.join(value_ranks(p), "value").select("col_id", "value", "rank", "n")
 
 
