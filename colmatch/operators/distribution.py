@@ -24,18 +24,20 @@ from colmatch.sources.profile import Profile
 
 def parsed_number(value: Column) -> Column:
     """The number a value stands for, or null: blanks around and underscores between digits are dropped."""
-    s = F.regexp_replace(F.trim(value), r"(?<=[0-9])_(?=[0-9])", "")
-    shape = s.rlike(r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$")
-    x = F.when(F.lower(s).rlike("inf"), F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).otherwise(s.try_cast("double"))
-    return F.when(shape, F.when(x == 0, F.lit(0.0)).otherwise(x))
+    s = F.trim(value)
+    shape = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    joined = F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")
+    low = F.lower(s)
+    x = (F.when(s.rlike(shape), s.try_cast("double")).when(s.contains("_") & joined.rlike(shape), joined.try_cast("double"))
+          .when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf"))).when(low.isin("-inf", "-infinity"), F.lit(float("-inf"))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(x)
 
 
 def value_ranks(p: Profile) -> DataFrame:
     """value, rank over all columns: numbers before texts; values of one number share their last place. NaN has none."""
-    v = p.counts.select("value").distinct().where(~F.lower(F.regexp_replace(F.trim("value"), r"^[+-]", "")).isin("nan"))
+    v = p.counts.select("value").distinct().where(~F.lower(F.trim("value")).isin("nan", "+nan", "-nan"))
     keyed = v.select("value", parsed_number(F.col("value")).alias("num"))
     ranked = global_rank(keyed, [F.col("num").isNull(), F.col("num"), F.col("value")])
-    ranked = materialize(ranked, "ranks")
     last = ranked.where(F.col("num").isNotNull()).groupBy("num").agg(F.max("rank").alias("rank"))
     return (ranked.where(F.col("num").isNotNull()).select("value", "num").join(last, "num").select("value", "rank")
                   .unionByName(ranked.where(F.col("num").isNull()).select("value", "rank")))
