@@ -3,8 +3,9 @@
 1. Equal records of a side become one class.
 2. A record gives blocking keys: its table's distinguishing part, rare name words,
    values, pairs of days, and code or range patterns with a name word. Keys held by
-   few records bring them together; a key held by many counts only together with
-   another such key of the record. No key pairs all rows.
+   few records bring them together; a key held by many grows by further marks of the
+   record until few hold the combination. Pairs that share just a frequent combination
+   meet in blocks where that can be evidence enough: no pair of log-odds >= 0 is missed.
 3. Evidence on values, table, name, pattern and kind adds up to a pair's log-odds.
 4. Pairs within a side of high probability are listings of one column: clusters.
 5. Loopy belief propagation over the cluster pairs with a one-to-one factor at each
@@ -15,9 +16,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colmatch.llm.columns import kind_of, name_tokens, pattern_keys, table_keys, value_keys
@@ -44,21 +46,82 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _TOLD.split(", ")])
 
 
-def _blocked(told: DataFrame, few: int) -> DataFrame:
-    """a, b (a < b): records that share a key held by at most ``few``, or two keys that few hold together."""
-    keyed = materialize(told.select("rec", F.explode("keys").alias("k")).select("rec", F.xxhash64("k").alias("key")), "keys")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = materialize(keyed.join(counts, "key"), "counted")
-    rare = counted.where(F.col("n") <= few).select("rec", "key")
-    often = counted.where(F.col("n") > few).groupBy("rec").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    both = (often.select("rec", F.explode(F.flatten(F.transform("keys", lambda x, i: F.transform(
-        F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))).alias("key")))
-    both = materialize(both, "pairs")
-    together = both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= few)).select("key")
-    keys = rare.unionByName(both.join(together, "key").select("rec", "key"))
+def _bound(combo: Column) -> Column:
+    """The most log-odds of a pair that shares the marks of ``combo`` only, missing names and tables being no evidence."""
+    n = lambda kind: F.size(F.filter(combo, lambda m: F.substring(m, 1, 1) == kind))
+    if_any = lambda kind, points: F.when(n(kind) > 0, points).otherwise(0.0)
+    vals = F.when(n("v") > 0, F.least(4.0 * n("v") - 1, F.lit(20.0))).otherwise(0.0)
+    days = F.when(n("D") > 0, F.least(3.0 * F.ceil((1 + F.sqrt(1 + 8.0 * n("D"))) / 2) - 4, F.lit(20.0))).otherwise(0.0)
+    return F.lit(-7.0 + 0.5) + vals + days + if_any("T", 8.0) + if_any("o", 6.0) + if_any("w", 4.0) + if_any("p", 5.0)
+
+
+def _way(combo: Column, deep: int) -> Column:
+    """How pairs that share no more than a frequent combination can reach log-odds of 0.
+
+    'none': in no way; 'bare', 'stray', 'either': only if a record has no known name
+    word, no table, or one of both, as differing ones cost 6 and 8; 'whole': any can.
+    """
+    most, has = _bound(combo), lambda kind: F.exists(combo, lambda m: F.substring(m, 1, 1) == kind)
+    return (F.when(F.size(combo) >= deep, "whole").when(most < 0, "none").when(~has("w") & (most < 6), "bare").when(~has("T") & (most < 8), "stray")
+             .when(~has("w") & ~has("T") & (most < 14), "either").otherwise("whole"))
+
+
+def _frequent(told: DataFrame, hot: DataFrame, few: int, deep: int, block: int) -> DataFrame:
+    """a, b: pairs that share keys held by many; every pair of log-odds >= 0 among them.
+
+    ``hot``: rec, k. A frequent combination of marks (keys, name words, patterns) grows
+    by each further mark of a record until few hold it. Pairs that share nothing more
+    are lost by growing, so those that could reach log-odds of 0 meet beforehand in
+    blocks of ``block`` x ``block`` records and are scored where they meet.
+    """
+    mark = lambda kind, x: F.concat(kind, F.xxhash64(x).cast("string"))
+    first, parts = F.substring("k", 1, 1), F.split(F.expr("substring(k, 2)"), " ")
+    single = F.when(first != "P", mark(first, F.col("k")))
+    start = hot.select("rec", F.when(first == "P", F.array_sort(F.array(mark(F.lit("p"), parts[0]), mark(F.lit("w"), parts[1])))).otherwise(F.array(single)).alias("combo"))
+    held = hot.groupBy("rec").agg(F.collect_set(single).alias("marks"))
+    own = told.drop("keys").join(held, "rec").withColumn("marks", F.concat(
+        "marks", F.transform("patterns", lambda x: mark(F.lit("p"), x)), F.transform("known", lambda x: mark(F.lit("w"), x))))
+    own = materialize(own, "marks")
+    level, small, large = materialize(start, "combos"), [], []
+    while not level.isEmpty():
+        n = level.groupBy("combo").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        counted = materialize(level.join(n, "combo").withColumn("key", F.xxhash64("combo")).withColumn("way", _way(F.col("combo"), deep)), "counted")
+        small.append(counted.where(F.col("n") <= few).select("rec", "key"))
+        many = counted.where(F.col("n") > few)
+        large.append(many.where("way <> 'none'").select("rec", "key", "n", "way"))
+        grown = (many.where("way <> 'whole'").join(own.select("rec", "marks"), "rec")
+                     .select("rec", "combo", F.explode(F.array_except("marks", "combo")).alias("m")).select("rec", F.array_sort(F.array_append("combo", F.col("m"))).alias("combo")))
+        level = materialize(grown.distinct(), "combos")
+    if not small:
+        return _meet(hot.select("rec", F.xxhash64("k").alias("key")))
+    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    big = union(large).join(own.drop("marks"), "rec").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    bare, stray = F.size("known") == 0, F.size("tables") == 0
+    free = F.when(F.col("way") == "bare", bare).when(F.col("way") == "stray", stray).when(F.col("way") == "either", bare | stray).otherwise(True)
+    big = materialize(big.withColumn("free", free).withColumn("here", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int")), "frequent")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    facts = [c for c in told.columns if c not in ("keys", "rec")]
+    x = big.where("free").select("key", F.col("here").alias("i"), every.alias("j"), F.col("rec").alias("a"), *(F.col(c).alias(f"{c}_a") for c in facts))
+    y = big.select("key", every.alias("i"), F.col("here").alias("j"), F.col("rec").alias("b"), "free", *(F.col(c).alias(f"{c}_b") for c in facts))
+    met = x.join(y, ["key", "i", "j"]).where((F.col("a") != F.col("b")) & (~F.col("free") | (F.col("a") < F.col("b"))) & (_log_odds() > -6))
+    return _meet(union(small)).unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def _meet(keys: DataFrame) -> DataFrame:
+    """a, b (a < b): records (rec) with the same key."""
     x, y = keys.alias("x"), keys.alias("y")
     return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rec") < F.col("y.rec")))
-             .select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")).distinct())
+             .select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b")))
+
+
+def _blocked(told: DataFrame, few: int, deep: int = 4, block: int = 1024) -> DataFrame:
+    """a, b (a < b): records that share a key held by at most ``few``, or frequent keys and may be one column."""
+    keyed = materialize(told.select("rec", F.explode("keys").alias("k")).select("rec", F.xxhash64("k").alias("key")), "keys")
+    counts = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    rare = keyed.join(counts.where(F.col("n") <= few), "key").select("rec", "key")
+    often = counts.where(F.col("n") > few).select("key")
+    hot = materialize(told.select("rec", F.explode("keys").alias("k")).withColumn("key", F.xxhash64("k")).join(often, "key").select("rec", "k"), "hot")
+    return _meet(rare).unionByName(_frequent(told, hot, few, deep, block)).distinct()
 
 
 def _log_odds():

@@ -98,6 +98,28 @@ def test_entities(spark):
     assert entities.match_columns(a.limit(0), b).count() == 0 == entities.match_columns(a, b.limit(0)).count()
 
 
+def test_entities_with_frequent_keys_only(spark):
+    """A table held by more than 64 columns, named by dictionary words and without samples."""
+    schema = "id long, table_name string, name string, data_type string, samples array<string>"
+    words = {k: v.split()[0] for k, v in columns.SYNONYMS.items()}
+    left = spark.createDataFrame([(i, "big_zulo", k, "text", None) for i, k in enumerate(words)], schema)
+    right = spark.createDataFrame([(i, "stg.all_zulo", w, "text", None) for i, w in enumerate(words.values())], schema)
+    assert {(r.left_id, r.right_id) for r in entities.match_columns(left, right).collect()} == {(i, i) for i in range(len(words))}
+
+
+def test_no_candidate_of_positive_evidence_is_missed(spark):
+    rng, words = random.Random(5), ["amount", "price", "code", "date", "customer", "first"]
+    some = lambda of, n: rng.sample(of, rng.randint(0, n))
+    samples = lambda: some(["0", "1", "red", "blue", "7"], 3) + some(["2020-01-01", "2020-01-02", "2020-01-03"], 3) + some(["AB-001", "AB-002", "AB-003"], 3)
+    rows = [(i, i % 2, rng.choice([None, "x_zulo", "x_gorm", "x_fumhe"]), " ".join(some(words, 2) + some(["grosk", "plimt"], 1)), "text", samples()) for i in range(220)]
+    told = spark.createDataFrame(rows, "rec long, side int, table_name string, name string, data_type string, samples array<string>").mapInPandas(entities._describe, entities._TOLD).persist()
+    of = lambda s: told.drop("keys").select(*(F.col(c).alias(s if c == "rec" else f"{c}_{s}") for c in told.columns if c != "keys"))
+    want = {(r.a, r.b) for r in of("a").join(of("b"), F.col("a") < F.col("b")).where(entities._log_odds() >= 0).collect()}
+    for few, deep, block in ((3, 4, 16), (12, 2, 1024)):
+        got = {(r.a, r.b) for r in entities._blocked(told, few, deep, block).collect()}
+        assert len(want) > 1000 and want <= got and all(x < y for x, y in got)
+
+
 def test_propagation_is_exact_on_trees(spark):
     theta = {(1, 1): 1.0, (1, 2): 0.5, (2, 2): 2.0, (3, 3): -1.0}
     got = {(r.l, r.r): r.belief for r in entities.propagate(spark.createDataFrame([(*k, v) for k, v in theta.items()], "l long, r long, theta double"), 60, 1e-9).collect()}
