@@ -1,7 +1,8 @@
 """Suggestions: a match, an ambiguity or no match for every source field.
 
-Names are scored once per distinct pair of names in Arrow batches; everything else
-is column arithmetic and windows over source fields.
+Names are scored once per distinct pair of names in Arrow batches, values in common
+are counted by a join on the value; everything else is column arithmetic and windows
+over source fields.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from colmatch.functions import expressions as X
 from colmatch.functions.names import abbreviation_score, name_score, normalize_name
 from colmatch.functions.types import Config
+from colmatch.plans.shared import materialize
 
 
 @F.pandas_udf(T.DoubleType())
@@ -31,26 +33,46 @@ def _bare_name(a: pd.Series) -> pd.Series:
     return a.map(normalize_name)
 
 
-def candidates(source: DataFrame, target: DataFrame) -> DataFrame:
+def _listed(fields: DataFrame) -> DataFrame:
+    return fields.select("pos", F.explode("samples").alias("value"))
+
+
+def overlaps(source: DataFrame, target: DataFrame) -> DataFrame:
+    """s_pos, t_pos, sample_score of fields that both have values (pos, value), however many.
+
+    Values count without case and blanks at the ends. One shuffle of the values: the
+    fields of each value (never more than there are fields) are gathered and paired.
+    """
+    of = lambda df, target: df.select(F.lit(target).alias("target"), "pos", F.lower(F.trim("value")).alias("value")).where(F.col("value") != "")
+    values = of(source, False).unionByName(of(target, True))
+    held = materialize(values.groupBy("value").agg(F.collect_set(F.struct("target", "pos")).alias("at")), "held")
+    sizes = held.select(F.inline("at")).groupBy("target", "pos").agg(F.count(F.lit(1)).alias("n"))
+    met = F.flatten(F.transform(F.filter("at", lambda x: ~x["target"]), lambda x: F.transform(
+        F.filter("at", lambda y: y["target"]), lambda y: F.struct(x["pos"].alias("s_pos"), y["pos"].alias("t_pos")))))
+    shared = held.select(F.inline(met)).groupBy("s_pos", "t_pos").agg(F.count(F.lit(1)).alias("shared"))
+    # a row per field or pair of fields
+    both = (sizes.where("not target").select(F.col("pos").alias("s_pos"), F.col("n").alias("n"))
+            .join(F.broadcast(sizes.where("target").select(F.col("pos").alias("t_pos"), F.col("n").alias("m")))))
+    score = F.when((F.col("n") < 2) | (F.col("m") < 2), 0.0).otherwise(F.coalesce("shared", F.lit(0)) / F.greatest("n", "m"))
+    return both.join(F.broadcast(shared), ["s_pos", "t_pos"], "left").select("s_pos", "t_pos", score.alias("sample_score"))
+
+
+def candidates(source: DataFrame, target: DataFrame, source_values: DataFrame | None = None, target_values: DataFrame | None = None) -> DataFrame:
     """All pairs of fields with their component scores.
 
-    Inputs: pos, name, data_type, samples (array). Output: s_pos, source, t_pos,
-    target, name_score, abbr_score, type_score, sample_score (null without samples on
-    either side; a best score that several targets share counts half), exact.
+    Inputs: pos, name, data_type and samples (array), or values (pos, value) in place
+    of samples. Output: s_pos, source, t_pos, target, name_score, abbr_score,
+    type_score, sample_score (null without samples on either side; a best score that
+    several targets share counts half), exact.
     """
     def side(df: DataFrame, p: str) -> DataFrame:
-        clean = F.transform("samples", lambda v: F.lower(F.trim(v)))
-        return df.select(F.col("pos").alias(f"{p}_pos"), F.col("name").alias(p), F.col("data_type").alias(f"{p}_type"),
-                         F.array_distinct(F.filter(F.coalesce(clean, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != ""))).alias(f"{p}_vals"),
-                         _bare_name(F.coalesce("name", F.lit(""))).alias(f"{p}_bare"))
+        return df.select(F.col("pos").alias(f"{p}_pos"), F.col("name").alias(p), F.col("data_type").alias(f"{p}_type"), _bare_name(F.coalesce("name", F.lit(""))).alias(f"{p}_bare"))
 
+    met = materialize(overlaps(_listed(source) if source_values is None else source_values, _listed(target) if target_values is None else target_values), "overlaps")
     # fields are metadata: a schema, not a table of values, is sent to the other side
-    pairs = side(source, "s").join(F.broadcast(side(target, "t")))
-    shared = F.size(F.array_intersect("s_vals", "t_vals"))
-    n, m = F.size("s_vals"), F.size("t_vals")
-    sample = F.when((n == 0) | (m == 0), None).when((n < 2) | (m < 2), 0.0).otherwise(shared / F.greatest(n, m))
+    pairs = side(source, "s").join(F.broadcast(side(target, "t"))).join(F.broadcast(met), ["s_pos", "t_pos"], "left")
     scored = pairs.select("s_pos", F.col("s").alias("source"), "t_pos", F.col("t").alias("target"), _name_score("s", "t").alias("name_score"), _abbreviation("s", "t").alias("abbr_score"),
-                          X.suggestion_type_score(F.col("s_type"), F.col("t_type")).alias("type_score"), sample.cast("double").alias("sample_score"), (F.col("s_bare") == F.col("t_bare")).alias("exact"))
+                          X.suggestion_type_score(F.col("s_type"), F.col("t_type")).alias("type_score"), "sample_score", (F.col("s_bare") == F.col("t_bare")).alias("exact"))
     top = F.max("sample_score").over(Window.partitionBy("s_pos"))
     tied = F.abs(F.col("sample_score") - F.col("top")) <= 1e-12
     many = F.sum(F.when(tied, 1).otherwise(0)).over(Window.partitionBy("s_pos"))
@@ -82,7 +104,7 @@ def _decided(scored: DataFrame, c: Config) -> DataFrame:
                       F.slice("all", 1, max(c.max_candidates, 0)).alias("candidates") if c.max_candidates else F.slice("all", 1, 0).alias("candidates"))
 
 
-def suggest(source: DataFrame, target: DataFrame, config: Config | None = None) -> DataFrame:
+def suggest(source: DataFrame, target: DataFrame, config: Config | None = None, source_values: DataFrame | None = None, target_values: DataFrame | None = None) -> DataFrame:
     """s_pos, source, decision (match, ambiguous, no_match), best_score, target, targets, candidates.
 
     Fields without a match are tried again with abbreviations as evidence on names,
@@ -90,7 +112,7 @@ def suggest(source: DataFrame, target: DataFrame, config: Config | None = None)
     any target has no_match and a null score. Duplicate and empty names are kept apart by pos.
     """
     c = config or Config()
-    scored = candidates(source, target)
+    scored = candidates(source, target, source_values, target_values)
     first = _decided(_combined(scored, F.col("name_score")), c)
     again = _decided(_combined(scored, F.greatest("name_score", "abbr_score")), c)
     settled = first.where("decision <> 'no_match'")

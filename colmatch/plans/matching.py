@@ -126,19 +126,22 @@ def coma_combined(spark, sf_dir):
     return coma.coma(words(spark, sf_dir), use_instances=True, instance_weight=2.5, max_n=2).select(*results.KEYS, F.round("score", 9).alias("score"))
 
 
-def _fields(spark, sf_dir, name: str, limit: int = 100) -> DataFrame:
+def _fields(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame]:
+    """The columns of a table as fields, and all distinct values of each."""
     p = _profile(spark, sf_dir, {name: STAR[name]})
-    kept = profile.sample_evenly(p.counts, "col_id", "value", limit).groupBy("col_id").agg(F.collect_list("value").alias("samples"))
-    return p.table().join(kept, "col_id", "left").select(F.col("ordinal").alias("pos"), F.col("column").alias("name"), F.col("dtype").alias("data_type"), "samples")
+    values = p.counts.join(F.broadcast(p.table().select("col_id", F.col("ordinal").alias("pos"))), "col_id").select("pos", "value")
+    return p.table().select(F.col("ordinal").alias("pos"), F.col("column").alias("name"), F.col("dtype").alias("data_type")), values
 
 
 def suggest_candidates(spark, sf_dir):
-    c = suggest.candidates(_fields(spark, sf_dir, "customer"), _fields(spark, sf_dir, "supplier"))
+    (source, s), (target, t) = _fields(spark, sf_dir, "customer"), _fields(spark, sf_dir, "supplier")
+    c = suggest.candidates(source, target, s, t)
     return c.select("source", "target", F.round("name_score", 9).alias("name_score"), "type_score", F.round("sample_score", 9).alias("sample_score"))
 
 
 def suggest_decisions(spark, sf_dir):
-    return suggest.suggest(_fields(spark, sf_dir, "customer"), _fields(spark, sf_dir, "supplier")).select("source", "decision", F.round("best_score", 9).alias("best_score"), "target")
+    (source, s), (target, t) = _fields(spark, sf_dir, "customer"), _fields(spark, sf_dir, "supplier")
+    return suggest.suggest(source, target, None, s, t).select("source", "decision", F.round("best_score", 9).alias("best_score"), "target")
 
 
 def dist_ranks(spark, sf_dir):

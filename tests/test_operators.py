@@ -263,6 +263,24 @@ def test_suggestions(spark):
     assert decide(spark, [("a", "text", [])], []) == [("no_match", None, [])]
 
 
+def test_suggestions_read_whole_columns(spark):
+    from colmatch.plans import matching
+
+    data = "/root/testdata/sf0.01"
+    values = lambda t, c: {str(r[0]) for r in spark.read.parquet(f"{data}/{t}.parquet").select(c).distinct().collect()}
+    score = {(r.source, r.target): r.sample_score for r in matching.suggest_candidates(spark, data).collect()}
+    keys = values("customer", "c_custkey")
+    assert len(keys) > 100
+    for c in ("s_suppkey", "s_nationkey"):
+        other = values("supplier", c)
+        assert score["c_custkey", c] == pytest.approx(len(keys & other) / max(len(keys), len(other)), abs=1e-9)
+    fields = spark.createDataFrame([(0, "a", "text")], "pos int, name string, data_type string")
+    some = lambda of: spark.createDataFrame([(0, v) for v in of], "pos int, value string")
+    got = suggest.candidates(fields, fields, some([" A", "a", "b", "", None]), some(["B ", "c", "d"])).first()
+    assert got.sample_score == pytest.approx(1 / 3)
+    assert suggest.candidates(fields, fields, some(["a", "b"]), some([])).first().sample_score is None
+
+
 # --- expressions, streaming ------------------------------------------------------------
 
 
