@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ STAR = {
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
 }
 WORDS = {"region": "r_name", "nation": "n_name", "customer": "c_mktsegment", "part": "p_name p_type", "orders": "o_orderpriority", "events": "event_type"}
+# every text column; queries named *_text read these
+TEXT = {"region": "r_name", "nation": "n_name", "customer": "c_name c_mktsegment", "supplier": "s_name", "part": "p_name p_brand p_type", "orders": "o_orderstatus o_orderpriority",
+        "lineitem": "l_returnflag l_linestatus", "events": "event_type props"}
 TRUTH = [
     ("customer", "c_custkey", "orders", "o_custkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey"), ("part", "p_partkey", "lineitem", "l_partkey"),
     ("supplier", "s_suppkey", "lineitem", "l_suppkey"), ("nation", "n_nationkey", "customer", "c_nationkey"), ("nation", "n_nationkey", "supplier", "s_nationkey"),
@@ -39,6 +44,10 @@ def words(spark: SparkSession, sf_dir: str) -> profile.Profile:
     return _profile(spark, sf_dir, WORDS)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> profile.Profile:
+    return _profile(spark, sf_dir, TEXT)
+
+
 def truth(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TRUTH, "source_table string, source_column string, target_table string, target_column string")
 
@@ -80,9 +89,9 @@ def tversky_asym(spark, sf_dir):
     return jaccard.jaccard(star(spark, sf_dir), "exact", alpha=0.25, beta=0.75)
 
 
-def _fuzzy(distance: str, threshold: float):
+def _fuzzy(distance: str, threshold: float, of=words):
     def run(spark, sf_dir):
-        return jaccard.jaccard(words(spark, sf_dir), distance, threshold).withColumn("score", F.round("score", 9))
+        return jaccard.jaccard(of(spark, sf_dir), distance, threshold).withColumn("score", F.round("score", 9))
 
     return run
 
@@ -109,21 +118,21 @@ def coma_name(spark, sf_dir):
     return coma.coma(star(spark, sf_dir)).select(*results.KEYS, F.round("score", 9).alias("score"))
 
 
-def tfidf_idf(spark, sf_dir):
-    return coma.idf(words(spark, sf_dir)).select("token", "df", F.round("idf", 9).alias("idf"))
+def tfidf_idf(spark, sf_dir, of=words):
+    return coma.idf(of(spark, sf_dir)).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
-def tfidf_vectors(spark, sf_dir):
-    return coma.vectors(words(spark, sf_dir)).select("value", "token", F.round("weight", 9).alias("weight"))
+def tfidf_vectors(spark, sf_dir, of=words):
+    return coma.vectors(of(spark, sf_dir)).select("value", "token", F.round("weight", 9).alias("weight"))
 
 
-def coma_instances(spark, sf_dir):
-    p = words(spark, sf_dir)
+def coma_instances(spark, sf_dir, of=words):
+    p = of(spark, sf_dir)
     return p.named(coma.instance_scores(p).select("a", "b", F.round("instance_score", 9).alias("score")))
 
 
-def coma_combined(spark, sf_dir):
-    return coma.coma(words(spark, sf_dir), use_instances=True, instance_weight=2.5, max_n=2).select(*results.KEYS, F.round("score", 9).alias("score"))
+def coma_combined(spark, sf_dir, of=words):
+    return coma.coma(of(spark, sf_dir), use_instances=True, instance_weight=2.5, max_n=2).select(*results.KEYS, F.round("score", 9).alias("score"))
 
 
 def _fields(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame]:
@@ -234,6 +243,9 @@ QUERIES = {f.__name__: f for f in (
     rank_top_n, rank_top_percent, rank_per_source, mutual_top, default_cutoff, score_filter, greedy_select, metrics_prf, metrics_topn_curve, metrics_recall_at_gold, metrics_mrr)}
 _DISTANCES = {"jaccard_lev": ("levenshtein", 0.5), "jaccard_damerau": ("damerau_levenshtein", 0.5), "jaccard_jaro": ("jaro", 0.6), "jaccard_jw": ("jaro_winkler", 0.65), "jaccard_hamming": ("hamming", 0.3)}
 QUERIES |= {name: _fuzzy(*how) for name, how in _DISTANCES.items()}
+# without SQL: all pairs of distinct values are too many for it at size
+QUERIES |= {f"{name}_text": _fuzzy(*how, texts) for name, how in _DISTANCES.items()}
+QUERIES |= {f"{f.__name__}_text": partial(f, of=texts) for f in (tfidf_idf, tfidf_vectors, coma_instances, coma_combined)}
 QUERIES |= {"hungarian": _assigned("hungarian"), "hungarian_aware": _assigned("hungarian_aware"), "rectangular": _assigned("rectangular"), "rectangular_aware": _assigned("rectangular_aware")}
 
 # --- SQL ---------------------------------------------------------------------------------------

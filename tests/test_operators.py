@@ -281,6 +281,26 @@ def test_suggestions_read_whole_columns(spark):
     assert suggest.candidates(fields, fields, some(["a", "b"]), some([])).first().sample_score is None
 
 
+def test_text_queries_read_every_text_column(spark):
+    from colmatch.functions.names import DISTANCES
+    from colmatch.plans import matching
+
+    data, near = "/root/testdata/sf0.001", DISTANCES["levenshtein"]
+    sets = [(no, t, c, {r[0] for r in spark.read.parquet(f"{data}/{t}.parquet").select(c).distinct().collect() if r[0]})
+            for no, (t, cols) in enumerate(matching.TEXT.items()) for c in cols.split()]
+    hit = lambda x, y: sum(any(near(v, w) >= 0.5 for w in y) for v in x)
+    want = {}
+    for no, t, c, x in sets:
+        for other, u, d, y in sets:
+            m, k = (hit(x, y), hit(y, x)) if no < other else (0, 0)
+            if m:
+                want[t, c, u, d] = pytest.approx(max(m / (len(x) + len(y) - k), k / (len(x) + len(y) - m)), abs=1e-9)
+    got = {tuple(r)[:4]: r.score for r in matching.QUERIES["jaccard_lev_text"](spark, data).collect()}
+    assert got == want and ("customer", "c_name", "supplier", "s_name") in got
+    held = {r.value for r in matching.QUERIES["tfidf_vectors_text"](spark, data).collect()}
+    assert {v for _, _, c, x in sets for v in x if c in ("c_name", "s_name", "p_brand")} <= held
+
+
 # --- expressions, streaming ------------------------------------------------------------
 
 
