@@ -137,10 +137,13 @@ def test_propagation_is_exact_on_trees(spark):
 # --- 6: sets --------------------------------------------------------------------------------
 
 
-def similar(rows):
+def similar(rows, num=3, den=5, least=3):
     sets = {i: (t, {s.strip().lower() for s in (x or []) if s is not None} - {""}) for i, t, x in rows}
-    sets = {i: v for i, v in sets.items() if len(v[1]) >= 3}
-    return sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a][0] != sets[b][0] and 5 * len(sets[a][1] & sets[b][1]) >= 3 * len(sets[a][1] | sets[b][1]))
+    sets = {i: v for i, v in sets.items() if len(v[1]) >= max(least, 1)}
+    return sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a][0] != sets[b][0] and den * len(sets[a][1] & sets[b][1]) >= num * len(sets[a][1] | sets[b][1]))
+
+
+SETS = "id long, tab string, samples array<string>"
 
 
 def test_set_join(spark):
@@ -149,13 +152,33 @@ def test_set_join(spark):
     rows = [(i, f"t{i % 7}", rng.choices(words[: rng.choice([6, 12, 30])], k=rng.randint(0, 9))) for i in range(260)]
     rows += [(1000 + i, "t1", ["A ", "b", "c", None, ""]) for i in range(20)] + [(1100 + i, "t2", ["a", "B", "C"]) for i in range(3)] + [(1200, None, ["a", "b", "c"]), (1201, None, ["a", "b", "c"]), (1202, "t9", None)]
     rows += [(1300 + i, f"u{i}", [f"long{k}" for k in range(i * 30, i * 30 + 600)]) for i in range(6)]
-    df = spark.createDataFrame(rows, "id long, tab string, samples array<string>").withColumn("n", F.lit(1))
-    for tuning in ({}, {"rare": 2, "frequent_pair": 3, "long_set": 5}):
+    df = spark.createDataFrame(rows, SETS).withColumn("n", F.lit(1))
+    for tuning in ({}, {"rare": 2, "frequent": 3, "short": 5}):
         got = sorted((r.a, r.b) for r in setjoin.similar_rows(df, "id", "tab", "samples", **tuning).collect())
         assert got == similar(rows), tuning
     assert setjoin.similar_rows(df.limit(0), "id", "tab", "samples").count() == 0
 
 
+@pytest.mark.parametrize("num,den,least", [(1, 2, 1), (3, 5, 2), (1, 5, 1), (1, 1, 1)])
+def test_set_join_by_threshold(spark, num, den, least):
+    """Small sets of few, frequent tokens: one or two in common may be enough."""
+    rng = random.Random(num * den)
+    rows = [(i, f"t{i % 5}", [f"w{int(rng.random() ** 2 * 9)}" for _ in range(rng.randint(1, 12))]) for i in range(150)]
+    df = spark.createDataFrame(rows, SETS)
+    for tuning in ({"rare": 2, "frequent": 2, "deep": 1, "block": 7}, {"rare": 3, "frequent": 4, "deep": 4, "short": 3, "most": 200}):
+        got = sorted((r.a, r.b) for r in setjoin.similar_rows(df, "id", "tab", "samples", num, den, least, **tuning).collect())
+        assert got == similar(rows, num, den, least), tuning
+
+
+def test_set_join_on_one_or_two_frequent_tokens(spark):
+    star = [(i, f"t{i}", ["hub"] if not i else ["hub", f"w{i}"]) for i in range(80)]
+    got = {(r.a, r.b) for r in setjoin.similar_rows(spark.createDataFrame(star, SETS), "id", "tab", "samples", 1, 2, 1).collect()}
+    assert got == {(0, i) for i in range(1, 80)}
+    star = [(i, f"t{i}", ["hub", "rim"] + ([f"w{i}"] if i else [])) for i in range(400)]
+    got = {(r.a, r.b) for r in setjoin.similar_rows(spark.createDataFrame(star, SETS), "id", "tab", "samples", 3, 5, 2).collect()}
+    assert got == {(0, i) for i in range(1, 400)}
+
+
 # --- 7: tokens ---------------------------------------------------------------------------------
 
 TEXTS = ["", None, " ", "Hello world!  It's  42\n\n\tnaïve façade — 東京タワーに行きました。 Привет, мир", "<|endoftext|> x", "a" * 3000, "  x​ \x85y  ", "👩‍⚕️🙂 end ", "ééé\r\n", "word " * 4000, "don't we'll I'M"]
