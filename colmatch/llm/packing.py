@@ -5,8 +5,9 @@ remainder is packed. Items are dealt to shards by the hash of their id, so a sha
 has a fixed expected size and no key can make it large. A shard is packed best-fit
 decreasing and improved by local search: documents are moved, exchanged one for one
 or two for one between underfull containers as long as the sum of squared fills
-grows, the emptiest container giving, until it is empty. Containers that stay
-underfull are dealt anew with those of other shards and searched again.
+grows, the emptiest container giving, until it is empty or no exchange is left; every
+step looks at all items of the shard. Containers that stay underfull are dealt anew
+with those of other shards and searched again until no turn saves a container.
 """
 
 from __future__ import annotations
@@ -39,86 +40,94 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def improve(sizes: list[int], bins: list[list[int]], capacity: int, effort: int = 40) -> list[list[int]]:
+class _Bins:
+    """Items in containers, with the items sorted by (container, size) for searches over all of them."""
+
+    def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
+        self.size, self.capacity = np.asarray(sizes, dtype=np.int64), capacity
+        self.home = np.full(len(sizes), -1, dtype=np.int64)
+        for b, items in enumerate(bins):
+            self.home[items] = b
+        self.fill = np.zeros(len(bins), dtype=np.int64)
+        np.add.at(self.fill, self.home[self.home >= 0], self.size[self.home >= 0])
+        self.content = [set(b) for b in bins]
+        self.sort()
+
+    def sort(self) -> None:
+        self.order = np.lexsort((self.size, self.home))
+        self.key = self.home[self.order] * (self.capacity + 1) + self.size[self.order]
+
+    def shift(self, i: int, b: int) -> None:
+        a = self.home[i]
+        self.content[a].discard(i)
+        self.content[b].add(i)
+        self.fill[a] -= self.size[i]
+        self.fill[b] += self.size[i]
+        self.home[i] = b
+
+    def move(self, i: int) -> bool:
+        """Item ``i`` to the fullest container that takes it, if that raises the squared fill."""
+        y = self.home[i]
+        fits = (self.fill + self.size[i] <= self.capacity) & (self.fill > self.fill[y] - self.size[i])
+        fits[y] = False
+        if not fits.any():
+            return False
+        self.shift(i, int(np.argmax(np.where(fits, self.fill, -1))))
+        return True
+
+    def swap(self, i: int) -> bool:
+        """Item ``i`` for the one or two smaller items of a container that is then filled most."""
+        y, s = self.home[i], self.size[i]
+        home, size = self.home[self.order], self.size[self.order]
+        space = self.capacity - self.fill[home]
+        fuller = (home != y) & (space > 0)
+        gain = np.where(fuller, s - size, 0)  # for one
+        ok = (gain > 0) & (gain <= space) & (self.fill[home] + gain > self.fill[y])
+        one = np.where(ok, gain - space, -self.capacity - 1)
+        # for two: with each item the largest other one of its container that leaves less than s together
+        at = np.searchsorted(self.key, home * (self.capacity + 1) + np.maximum(s - 1 - size, -1), side="right") - 1
+        at = np.where(at == np.arange(len(at)), at - 1, at)
+        there = (at >= 0) & (home[at] == home)
+        both = size + size[at]
+        gain = np.where(fuller & there, s - both, 0)
+        ok = (gain > 0) & (gain <= space) & (self.fill[home] + gain > self.fill[y])
+        two = np.where(ok, gain - space, -self.capacity - 1)
+        j, k = int(np.argmax(one)), int(np.argmax(two))
+        if max(one[j], two[k]) < -self.capacity:
+            return False
+        out, b = ([j], home[j]) if one[j] >= two[k] else ([k, int(at[k])], home[k])
+        for x in self.order[out]:
+            self.shift(int(x), int(y))
+        self.shift(i, int(b))
+        return True
+
+
+def improve(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty the emptiest containers by moves and exchanges that raise the sum of squared fills.
 
-    ``effort``: exchanges tried per container that gives, at most.
+    Each container gives, the emptiest first, until no item of it can go: every step
+    looks at all items of all underfull containers and raises the sum, so it ends.
+    Items without size follow into a container that stays.
     """
-    size = np.asarray(sizes, dtype=np.int64)
-    home = np.full(len(sizes), -1, dtype=np.int64)
-    for b, items in enumerate(bins):
-        home[items] = b
-    fill = np.zeros(len(bins), dtype=np.int64)
-    np.add.at(fill, home[home >= 0], size[home >= 0])
+    t = _Bins(sizes, bins, capacity)
     closed = np.zeros(len(bins), dtype=bool)  # emptied, or given up as giver
-    content = [set(b) for b in bins]
-
-    def shift(i: int, b: int) -> None:
-        a = home[i]
-        content[a].discard(i)
-        content[b].add(i)
-        fill[a] -= size[i]
-        fill[b] += size[i]
-        home[i] = b
-
     while True:
-        givers = np.flatnonzero(~closed & (fill > 0) & (fill < capacity))
+        givers = np.flatnonzero(~closed & (t.fill > 0) & (t.fill < capacity))
         if len(givers) < 2:
             break
-        y = int(givers[np.argmin(fill[givers])])
-        for _ in range(effort):
-            if not content[y]:
-                break
-            done = False
-            for i in sorted(content[y], key=lambda k: (-size[k], k)):
-                space = capacity - fill
-                can = np.flatnonzero((space >= size[i]) & (fill >= fill[y] - size[i]) & (fill > 0))
-                can = can[can != y]
-                if len(can):  # move
-                    shift(i, int(can[np.argmin(space[can])]))
-                    done = True
-                    break
-            if not done:
-                done = _exchange(size, home, fill, content, capacity, y, shift)
-            if not done:
+        y = int(givers[np.argmin(t.fill[givers])])
+        while t.fill[y]:
+            items = sorted((i for i in t.content[y] if t.size[i]), key=lambda k: (-t.size[k], k))
+            if not (any(t.move(i) for i in items) or any(t.swap(i) for i in items if t.size[i] > 1)):
                 break
+            t.sort()
         closed[y] = True
-    return [sorted(c) for c in content if c]
-
-
-def _exchange(size, home, fill, content, capacity: int, y: int, shift) -> bool:
-    """The exchange of an item of ``y`` for one or two of a fuller container that fills this most."""
-    space = capacity - fill
-    for i in sorted(content[y], key=lambda k: (-size[k], k)):
-        gain = size[i] - size
-        ok = (home != y) & (gain > 0) & (gain <= space[home]) & (fill[home] + gain > fill[y])
-        if ok.any():
-            j = int(np.argmax(np.where(ok, gain, -1)))
-            b = int(home[j])
-            shift(j, y)
-            shift(i, b)
-            return True
-        if size[i] < 2:
-            continue
-        for b in np.flatnonzero((space > 0) & (fill >= fill[y]))[:64]:
-            if b == y or len(content[b]) < 2:
-                continue
-            inside = sorted(content[b], key=lambda k: int(size[k]))
-            lo, hi, best = 0, len(inside) - 1, None
-            while lo < hi:  # the pair whose sum is the largest below the item's size
-                s = size[inside[lo]] + size[inside[hi]]
-                if s >= size[i]:
-                    hi -= 1
-                else:
-                    if size[i] - s <= space[b] and (best is None or s < best[0]):
-                        best = (s, inside[lo], inside[hi])
-                    lo += 1
-            if best is not None:
-                shift(best[1], y)
-                shift(best[2], y)
-                shift(i, int(b))
-                return True
-    return False
+    used = [b for b in range(len(bins)) if t.fill[b]] or [0]
+    for b, c in enumerate(t.content):
+        if c and not t.fill[b] and b != used[0]:
+            t.content[used[0]] |= c
+            t.content[b] = set()
+    return [sorted(c) for c in t.content if c]
 
 
 def _place(pdf: pd.DataFrame, bins: list[list[int]], label: str) -> pd.DataFrame:
@@ -148,14 +157,15 @@ def _repack(turn: int):
     return run
 
 
-def pack(items: DataFrame, budgets: DataFrame, shard_items: int = 4_096, group_bins: int = 256, slack: float = 0.01, turns: int = 2) -> DataFrame:
+def pack(items: DataFrame, budgets: DataFrame, shard_items: int = 4_096, group_bins: int = 256, slack: float = 0.01) -> DataFrame:
     """budget_id, container, id, piece, start, size, fill: every item in a container of each budget.
 
     ``items``: id, size; ``budgets``: budget_id, capacity (a few rows, fixed). ``start``
     is where a piece begins in its item, ``fill`` what its container holds. Items of
     null or no size take a place without space; capacities below 1 take nothing.
     ``shard_items`` and ``group_bins`` bound a task; a container counts as underfull
-    when more than ``slack`` of it is free, and is dealt anew ``turns`` times.
+    when more than ``slack`` of it is free. Underfull ones are dealt anew as long as
+    that needs fewer containers.
     """
     size = F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0))
     wanted = items.select(F.col("id").cast("long").alias("id"), size.alias("whole")).crossJoin(F.broadcast(budgets.select(F.col("budget_id").cast("int").alias("budget_id"), F.col("capacity").cast("long").alias("capacity")).where("capacity > 0")))
@@ -169,16 +179,21 @@ def pack(items: DataFrame, budgets: DataFrame, shard_items: int = 4_096, group_b
     caps = F.broadcast(budgets.select(F.col("budget_id").cast("int").alias("budget_id"), F.col("capacity").cast("long").alias("capacity")))
     placed = materialize(dealt.groupBy("budget_id", "shard").applyInPandas(_pack, PLACED), "packed")
     done = []
-    for turn in range(turns):
+    turn, bins = 0, None
+    while True:
         whole = placed.join(caps, "budget_id")
         under = F.col("fill") < F.col("capacity") * (1 - slack)
+        now = placed.select("container").distinct().count()
+        if bins is not None and now >= bins:
+            break
         open_ = whole.where(under)
-        bins = open_.select("container").distinct().count()
-        if bins < 2:
+        several = open_.select("container").distinct().count()
+        if several < 2:
             break
         done.append(whole.where(~under).select(*placed.columns))
-        group = F.pmod(F.xxhash64("container", F.lit(turn)), F.lit(max(1, -(-bins // group_bins))))
+        group = F.pmod(F.xxhash64("container", F.lit(turn)), F.lit(max(1, -(-several // group_bins))))
         placed = materialize(open_.withColumn("group", group).groupBy("budget_id", "group").applyInPandas(_repack(turn), PLACED), "packed")
+        turn, bins = turn + 1, several
     out = placed
     for d in done:
         out = out.unionByName(d)
