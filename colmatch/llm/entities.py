@@ -9,7 +9,7 @@
 3. Evidence on values, table, name, pattern and kind adds up to a pair's log-odds.
 4. Pairs within a side of high probability are listings of one column: clusters.
 5. Loopy belief propagation over the cluster pairs with a one-to-one factor at each
-   cluster: messages are exchanged through grouped sums until they settle.
+   cluster: messages are exchanged through joins with grouped sums until they settle.
 6. A matched pair of clusters gives a pair for each listing.
 """
 
@@ -155,39 +155,44 @@ def _clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(label, "rec", "left").select("rec", "side", F.coalesce("cluster", "rec").alias("cluster"))
 
 
-def propagate(pairs: DataFrame, rounds: int = 20, settled: float = 1e-3, damping: float = 0.5) -> DataFrame:
-    """l, r, belief: marginal probability of each candidate under one-to-one factors.
+def propagate(pairs: DataFrame, rounds: int = 100, settled: float = 1e-3, damping: float = 0.25) -> DataFrame:
+    """l, r, belief, settled: marginal probability of each candidate under one-to-one factors.
 
     ``pairs``: l, r, theta (log-odds). Pairs without a rival are exact at once; the
     others exchange messages: a side's factor tells a pair -log(1 + sum of the
-    exponentials of its rivals' messages).
+    exponentials of its rivals' messages). The sums are aggregates by side, joined
+    back, so a node of very many pairs is no task of its own. Damping grows halfway
+    to 1 every 20 rounds; ``settled`` is false for pairs whose messages still change
+    by more than ``settled`` after ``rounds``.
     """
-    rivals = lambda df: df.withColumn("n_l", F.count(F.lit(1)).over(Window.partitionBy("l"))).withColumn("n_r", F.count(F.lit(1)).over(Window.partitionBy("r")))
-    start = materialize(rivals(pairs), "rivals")
-    alone = start.where("n_l = 1 and n_r = 1").select("l", "r", (1 / (1 + F.exp(-F.col("theta")))).alias("belief"))
+    sides = lambda df, total: df.join(total("l"), "l").join(total("r"), "r")
+    start = materialize(sides(pairs, lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))), "rivals")
+    sure = lambda x: 1 / (1 + F.exp(-x))
+    alone = start.where("n_l = 1 and n_r = 1").select("l", "r", sure(F.col("theta")).alias("belief"), F.lit(True).alias("settled"))
     zero = F.lit(0.0)
-    state = start.where("n_l > 1 or n_r > 1").select("l", "r", "theta", zero.alias("from_l"), zero.alias("from_r"))
-    for _ in range(rounds):
-        others = lambda m, w: F.greatest(F.sum(F.exp(m)).over(Window.partitionBy(w)) - F.exp(m), zero)
-        to_l, to_r = F.col("theta") + F.col("from_r"), F.col("theta") + F.col("from_l")
-        sent = state.withColumn("new_l", -F.log1p(others(to_l, "l"))).withColumn("new_r", -F.log1p(others(to_r, "r")))
-        mix = lambda c: F.lit(damping) * F.col(f"from_{c}") + F.lit(1 - damping) * F.col(f"new_{c}")
-        state = materialize(sent.select("l", "r", "theta", mix("l").alias("from_l"), mix("r").alias("from_r"),
-                                        F.greatest(F.abs(F.col("new_l") - F.col("from_l")), F.abs(F.col("new_r") - F.col("from_r"))).alias("change")), "messages")
+    state = start.where("n_l > 1 or n_r > 1").select("l", "r", "theta", zero.alias("from_l"), zero.alias("from_r"), F.lit(float("inf")).alias("change"))
+    for turn in range(rounds):
+        keep = 1 - (1 - damping) / 2 ** (turn // 20)
+        told = state.withColumn("e_l", F.exp(F.col("theta") + F.col("from_r"))).withColumn("e_r", F.exp(F.col("theta") + F.col("from_l")))
+        met = sides(told, lambda c: told.groupBy(c).agg(F.sum(f"e_{c}").alias(f"s_{c}")))
+        new = lambda c: -F.log1p(F.greatest(F.col(f"s_{c}") - F.col(f"e_{c}"), zero))
+        mix = lambda c: F.lit(keep) * F.col(f"from_{c}") + F.lit(1 - keep) * new(c)
+        change = F.greatest(*(F.abs(new(c) - F.col(f"from_{c}")) for c in "lr"))
+        state = materialize(met.select("l", "r", "theta", mix("l").alias("from_l"), mix("r").alias("from_r"), change.alias("change")), "messages")
         most = state.agg(F.max("change")).first()[0]
-        state = state.drop("change")
         if most is None or most < settled:
             break
-    told = state.select("l", "r", (1 / (1 + F.exp(-(F.col("theta") + F.col("from_l") + F.col("from_r"))))).alias("belief"))
-    return alone.unionByName(told)
+    found = state.select("l", "r", sure(F.col("theta") + F.col("from_l") + F.col("from_r")).alias("belief"), (F.col("change") < settled).alias("settled"))
+    return alone.unionByName(found)
 
 
 def match_columns(left: DataFrame, right: DataFrame, few: int = 64, same_listing: float = 4.0, least: float = 0.5) -> DataFrame:
-    """left_id, right_id, confidence of the rows that describe one column.
+    """left_id, right_id, confidence, settled of the rows that describe one column.
 
     ``left`` and ``right``: id, table_name, name, data_type, samples. Null names,
     tables and samples are no evidence; a row with nothing but a common name matches
-    nothing; repeated rows give a pair each; an empty side gives no rows.
+    nothing; repeated rows give a pair each; an empty side gives no rows. ``settled``
+    is false where messages had not come to rest, see ``propagate``.
     """
     side = lambda df, s: df.select(F.col("id"), F.lit(s).alias("side"), "table_name", "name", "data_type", "samples")
     rows = side(left, 0).unionByName(side(right, 1))
@@ -209,4 +214,4 @@ def match_columns(left: DataFrame, right: DataFrame, few: int = 64, same_listing
     members = rows.select("id", "rec").join(cluster, "rec")
     return (found.join(members.where("side = 0").select(F.col("cluster").alias("l"), F.col("id").alias("left_id")), "l")
                  .join(members.where("side = 1").select(F.col("cluster").alias("r"), F.col("id").alias("right_id")), "r")
-                 .select("left_id", "right_id", F.round("belief", 6).alias("confidence")))
+                 .select("left_id", "right_id", F.round("belief", 6).alias("confidence"), "settled"))

@@ -134,6 +134,12 @@ def test_propagation_is_exact_on_trees(spark):
     assert got == pytest.approx({k: weight[k] / mass for k in theta}, abs=1e-4)
 
 
+def test_messages_that_have_not_settled_are_told(spark):
+    hard = spark.createDataFrame([(i, j, 3.0 + 0.01 * ((i * j) % 3)) for i in range(5) for j in range(5)] + [(9, 9, 1.0)], "l long, r long, theta double")
+    assert {(r.l, r.settled) for r in entities.propagate(hard, 2).collect() if r.l in (0, 9)} == {(0, False), (9, True)}
+    assert all(r.settled for r in entities.propagate(hard).collect())
+
+
 # --- 6: sets --------------------------------------------------------------------------------
 
 
@@ -230,6 +236,11 @@ def test_packing(spark):
 
 def test_local_search():
     assert len(packing.improve([6, 6, 4, 4, 3, 7], [[0], [1], [2], [3], [4], [5]], 10)) == 3
+    # only the last of a hundred containers has the two items that make room
+    far = [[i] for i in range(100)] + [[100, 101, 102], [103]]
+    assert len(packing.improve([9] * 100 + [3, 3, 3, 7], far, 10)) == 102
+    assert len(packing.improve([9] * 99 + [1] + [3, 3, 3, 7], far, 10)) == 101
+    assert packing.improve([0, 0, 5], [[0], [1], [2]], 10) == [[0, 1, 2]] and packing.improve([0], [[0]], 10) == [[0]] and packing.improve([], [], 10) == []
     rng = random.Random(8)
     for _ in range(20):
         sizes = [rng.randint(1, 99) for _ in range(120)]
