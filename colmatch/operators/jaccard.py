@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,45 +57,81 @@ def exact_scores(p: Profile, alpha: float = 1.0, beta: float = 1.0) -> DataFrame
     return shared_values(p).join(x, "a").join(y, "b").select("a", "b", score.alias("score"))
 
 
-def _similar(distance: str, cutoff: float):
+_BUCKETS = 64
+
+
+def _bag(text: str) -> np.ndarray:
+    """How often the characters of each bucket occur: two texts share no more than the smaller counts."""
+    return np.bincount(np.fromiter((ord(c) % _BUCKETS for c in text), dtype=np.int64, count=len(text)), minlength=_BUCKETS)
+
+
+def _most_similar(distance: str, common: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
+    """The most that ``distance`` can give texts of lengths n and m with so many characters in common."""
+    if distance == "damerau_levenshtein":
+        return common / np.maximum(n, m)
+    jaro = np.where(common > 0, (common / n + common / m + 1) / 3, 0.0)
+    return jaro if distance == "jaro" else np.where(jaro > 0.7, jaro + 0.4 * (1 - jaro), jaro)
+
+
+def _first_partner(distance: str, cutoff: float):
+    """Keeps the values of the left block that have a partner in the right one; the most promising is tried first."""
     measure = DISTANCES[distance]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = [measure(x, y) >= cutoff for x, y in zip(b["x"], b["y"])]
-            yield b[keep]
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[bool] = []
+        ys = right["y"].tolist()
+        if ys:
+            bags, lengths = np.array([_bag(y) for y in ys]), np.array([len(y) for y in ys])
+        for x in left["value"] if ys else []:
+            most = _most_similar(distance, np.minimum(bags, _bag(x)).sum(axis=1), len(x), lengths)
+            at = np.flatnonzero(most >= cutoff - 1e-9)
+            found.append(any(measure(x, ys[k]) >= cutoff for k in at[np.argsort(-most[at], kind="stable")]))
+        return left[found][["value", "d"]] if ys else left[["value", "d"]].iloc[:0]
 
     return run
 
 
-def similar_values(values: DataFrame, distance: str, threshold: float) -> DataFrame:
-    """x, y: pairs of distinct values, in both orders, at least as similar as the threshold; equal ones too.
+def matched_values(p: Profile, distance: str, threshold: float, block: int = 4096) -> DataFrame:
+    """value, d: values of any column with a partner in column ``d`` of another table, at least as similar as the threshold.
 
-    ``values``: value. For edit distances the lengths of a pair bound its similarity,
-    so values meet per length band; the bound of characters in common follows.
+    One partner is enough, so nothing of the size of all pairs is written: equal values
+    need no comparison (columns of the same values are done at once), and a value of
+    the rest stops at its first partner in a block of ``block`` values of a column.
+    Lengths and characters in common bound the similarity before it is computed.
     """
     cutoff = X.float_cutoff(threshold)
-    v = values.select("value").distinct().select("value", F.char_length("value").alias("len"))
-    if distance in ("levenshtein", "damerau_levenshtein", "hamming") and cutoff > 0:
-        reach = F.floor(F.col("len") / F.lit(cutoff)).cast("int")
-        wide = v.select(F.col("value").alias("x"), F.col("len").alias("len_x"), F.explode(F.sequence(F.col("len"), F.greatest(reach, F.col("len")))).alias("len_y"))
-        met = wide.join(v.select(F.col("value").alias("y"), F.col("len").alias("len_y")), "len_y").where((F.col("len_x") < F.col("len_y")) | (F.col("x") < F.col("y")))
-        longest = F.col("len_y")
+    info = {c.col_id: c.table_no for c in p.columns}
+    held = materialize(p.counts.select("col_id", "value"), "held")
+    sizes = {r.col_id: r.n for r in held.groupBy("col_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per column
+    same = held.select("value", F.col("col_id").alias("d"))
+    if not sizes:
+        return same
+    targets = F.array(*(F.struct(F.lit(c).alias("d"), F.lit(info[c]).alias("t"), F.lit(-(-n // block)).alias("blocks")) for c, n in sorted(sizes.items())))
+    numbers = F.create_map(*(F.lit(x) for c in sizes for x in (c, info[c])))
+    owners = held.groupBy("value").agg(F.collect_list("col_id").alias("cols"))
+    owned = materialize(owners.withColumn("tabs", F.transform("cols", lambda c: numbers[c])), "values")
+    asked = owned.select("value", "cols", "tabs", F.explode(targets).alias("x")).where(
+        ~F.array_contains("cols", F.col("x.d")) & F.exists("tabs", lambda t: t != F.col("x.t")))
+    if cutoff <= 0:
+        return same.unionByName(asked.select("value", "x.d"))
+    lefts = max(1, -(-owned.count() // (4 * block)))
+    left = asked.select("value", "x.d", F.pmod(F.xxhash64("value"), F.lit(lefts)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)).alias("j"))
+    blocks = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))))
+    right = held.select(F.col("col_id").alias("d"), F.col("value").alias("y"), F.pmod(F.xxhash64("value"), blocks[F.col("col_id")]).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("i"))
+    if distance in ("levenshtein", "hamming"):
+        x, y = F.col("l.value"), F.col("r.y")
+        longest, shortest = F.greatest(F.char_length(x), F.char_length(y)), F.least(F.char_length(x), F.char_length(y))
         if distance == "levenshtein":
-            most = F.floor((1 - cutoff) * longest + 1e-9).cast("int")
-            d = F.levenshtein("x", "y")
-            good = met.where((F.abs(F.col("len_x") - F.col("len_y")) <= most)).where((1 - d / longest) >= cutoff)
-        elif distance == "hamming":
-            good = met.where(X.hamming_similarity(F.col("x"), F.col("y")) >= cutoff)
+            most = f"CAST(floor({1 - cutoff!r} * greatest(char_length(l.value), char_length(r.y)) + 1e-9) AS INT)"
+            d = F.expr(f"levenshtein(l.value, r.y, {most})")
+            near = (longest - shortest <= F.expr(most)) & (d >= 0) & ((1 - d / longest) >= cutoff)
         else:
-            good = met.select("x", "y").mapInPandas(_similar(distance, cutoff), "x string, y string")
+            near = (shortest >= cutoff * longest - 1e-9) & (X.hamming_similarity(x, y) >= cutoff)
+        at = (F.col("l.d") == F.col("r.d")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+        found = left.alias("l").join(right.alias("r"), at & near, "left_semi").select("value", "d")
     else:
-        w = v.select(F.col("value").alias("y"))
-        met = v.select(F.col("value").alias("x")).join(w, F.col("x") < F.col("y"))
-        good = met.mapInPandas(_similar(distance, cutoff), "x string, y string")
-    good = good.select("x", "y")
-    same = v.select(F.col("value").alias("x"), F.col("value").alias("y"))
-    return good.unionByName(good.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(same)
+        found = left.groupBy("d", "i", "j").cogroup(right.groupBy("d", "i", "j")).applyInPandas(_first_partner(distance, cutoff), "value string, d int")
+    return same.unionByName(found.distinct())
 
 
 def fuzzy_scores(p: Profile, distance: str = "levenshtein", threshold: float = 0.8, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
@@ -105,18 +139,17 @@ def fuzzy_scores(p: Profile, distance: str = "levenshtein", threshold: float = 0
 
     Distinct values are compared once, whatever number of columns holds them.
     """
-    near = similar_values(p.counts, distance, threshold)
-    return _semi_scores(p, near, alpha, beta)
+    return _semi_scores(p, matched_values(p, distance, threshold), alpha, beta)
 
 
-def _semi_scores(p: Profile, near: DataFrame, alpha: float, beta: float) -> DataFrame:
+def _semi_scores(p: Profile, matched: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """``matched``: value, d. A row per value and column meets the columns that hold the value."""
     tables = F.broadcast(p.table().select("col_id", "table_no"))
-    held = p.counts.select("col_id", "value").join(tables, "col_id")
-    x = held.select(F.col("col_id").alias("c"), F.col("table_no").alias("t_c"), F.col("value").alias("x"))
-    y = held.select(F.col("col_id").alias("d"), F.col("table_no").alias("t_d"), F.col("value").alias("y"))
-    met = x.join(near, "x").join(y, "y").where(F.col("t_c") != F.col("t_d"))
+    held = p.counts.select("col_id", "value").join(tables, "col_id").select(F.col("col_id").alias("c"), F.col("table_no").alias("t_c"), "value")
+    to = matched.join(tables.select(F.col("col_id").alias("d"), F.col("table_no").alias("t_d")), "d")
+    met = held.join(to, "value").where(F.col("t_c") != F.col("t_d"))
     # of c's values with a partner in d; a row per column pair, read in both directions
-    hits = materialize(met.groupBy("c", "d", "t_c", "t_d").agg(F.count_distinct("x").alias("m")), "hits")
+    hits = materialize(met.groupBy("c", "d", "t_c", "t_d").agg(F.count(F.lit(1)).alias("m")), "hits")
     fwd = hits.where("t_c < t_d").select(F.col("c").alias("a"), F.col("d").alias("b"), F.col("m").alias("m_a"))
     back = hits.where("t_c > t_d").select(F.col("d").alias("a"), F.col("c").alias("b"), F.col("m").alias("m_b"))
     n = set_sizes(p)
@@ -138,7 +171,8 @@ def vector_scores(p: Profile, embeddings: DataFrame, threshold: float = 0.8, alp
     known = vocab.join(embeddings.select("value", X.unit_vector(F.col("vector")).alias("v")), "value", "left")
     if not known.where(F.col("v").isNull()).isEmpty():
         raise InvalidConfig("a value has no usable vector")
-    return _semi_scores(p, near_vectors(known, threshold, block), alpha, beta)
+    holders = p.counts.select(F.col("value").alias("y"), F.col("col_id").alias("d"))
+    return _semi_scores(p, near_vectors(known, threshold, block).join(holders, "y").select(F.col("x").alias("value"), "d").distinct(), alpha, beta)
 
 
 def near_vectors(known: DataFrame, threshold: float, block: int = 1024) -> DataFrame:

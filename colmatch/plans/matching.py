@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +19,7 @@ STAR = {
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
 }
-WORDS = {"region": "r_name", "nation": "n_name", "customer": "c_mktsegment", "part": "p_name p_type", "orders": "o_orderpriority", "events": "event_type"}
-# every text column; queries named *_text read these
+# every text column
 TEXT = {"region": "r_name", "nation": "n_name", "customer": "c_name c_mktsegment", "supplier": "s_name", "part": "p_name p_brand p_type", "orders": "o_orderstatus o_orderpriority",
         "lineitem": "l_returnflag l_linestatus", "events": "event_type props"}
 TRUTH = [
@@ -40,10 +37,6 @@ def star(spark: SparkSession, sf_dir: str) -> profile.Profile:
     return _profile(spark, sf_dir, STAR)
 
 
-def words(spark: SparkSession, sf_dir: str) -> profile.Profile:
-    return _profile(spark, sf_dir, WORDS)
-
-
 def texts(spark: SparkSession, sf_dir: str) -> profile.Profile:
     return _profile(spark, sf_dir, TEXT)
 
@@ -89,9 +82,9 @@ def tversky_asym(spark, sf_dir):
     return jaccard.jaccard(star(spark, sf_dir), "exact", alpha=0.25, beta=0.75)
 
 
-def _fuzzy(distance: str, threshold: float, of=words):
+def _fuzzy(distance: str, threshold: float):
     def run(spark, sf_dir):
-        return jaccard.jaccard(of(spark, sf_dir), distance, threshold).withColumn("score", F.round("score", 9))
+        return jaccard.jaccard(texts(spark, sf_dir), distance, threshold).withColumn("score", F.round("score", 9))
 
     return run
 
@@ -118,21 +111,21 @@ def coma_name(spark, sf_dir):
     return coma.coma(star(spark, sf_dir)).select(*results.KEYS, F.round("score", 9).alias("score"))
 
 
-def tfidf_idf(spark, sf_dir, of=words):
-    return coma.idf(of(spark, sf_dir)).select("token", "df", F.round("idf", 9).alias("idf"))
+def tfidf_idf(spark, sf_dir):
+    return coma.idf(texts(spark, sf_dir)).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
-def tfidf_vectors(spark, sf_dir, of=words):
-    return coma.vectors(of(spark, sf_dir)).select("value", "token", F.round("weight", 9).alias("weight"))
+def tfidf_vectors(spark, sf_dir):
+    return coma.vectors(texts(spark, sf_dir)).select("value", "token", F.round("weight", 9).alias("weight"))
 
 
-def coma_instances(spark, sf_dir, of=words):
-    p = of(spark, sf_dir)
+def coma_instances(spark, sf_dir):
+    p = texts(spark, sf_dir)
     return p.named(coma.instance_scores(p).select("a", "b", F.round("instance_score", 9).alias("score")))
 
 
-def coma_combined(spark, sf_dir, of=words):
-    return coma.coma(of(spark, sf_dir), use_instances=True, instance_weight=2.5, max_n=2).select(*results.KEYS, F.round("score", 9).alias("score"))
+def coma_combined(spark, sf_dir):
+    return coma.coma(texts(spark, sf_dir), use_instances=True, instance_weight=2.5, max_n=2).select(*results.KEYS, F.round("score", 9).alias("score"))
 
 
 def _fields(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame]:
@@ -243,9 +236,6 @@ QUERIES = {f.__name__: f for f in (
     rank_top_n, rank_top_percent, rank_per_source, mutual_top, default_cutoff, score_filter, greedy_select, metrics_prf, metrics_topn_curve, metrics_recall_at_gold, metrics_mrr)}
 _DISTANCES = {"jaccard_lev": ("levenshtein", 0.5), "jaccard_damerau": ("damerau_levenshtein", 0.5), "jaccard_jaro": ("jaro", 0.6), "jaccard_jw": ("jaro_winkler", 0.65), "jaccard_hamming": ("hamming", 0.3)}
 QUERIES |= {name: _fuzzy(*how) for name, how in _DISTANCES.items()}
-# without SQL: all pairs of distinct values are too many for it at size
-QUERIES |= {f"{name}_text": _fuzzy(*how, texts) for name, how in _DISTANCES.items()}
-QUERIES |= {f"{f.__name__}_text": partial(f, of=texts) for f in (tfidf_idf, tfidf_vectors, coma_instances, coma_combined)}
 QUERIES |= {"hungarian": _assigned("hungarian"), "hungarian_aware": _assigned("hungarian_aware"), "rectangular": _assigned("rectangular"), "rectangular_aware": _assigned("rectangular_aware")}
 
 # --- SQL ---------------------------------------------------------------------------------------
@@ -260,7 +250,18 @@ def _counts_sql(columns: dict[str, str]) -> str:
     return "vals AS (" + " UNION ALL ".join(parts) + ")"
 
 
-_STAR, _WORDS = _counts_sql(STAR), _counts_sql(WORDS)
+_KIND = ("CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'integer' WHEN column_type IN ('DOUBLE', 'FLOAT') THEN 'float' WHEN column_type LIKE 'DECIMAL%' THEN 'decimal' "
+         "WHEN column_type = 'BOOLEAN' THEN 'boolean' WHEN column_type = 'DATE' THEN 'date' WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE 'text' END")
+
+
+def _fields_sql(columns: dict[str, str]) -> str:
+    """fields: t, tab, i, col, kind of the chosen columns, the types as their tables declare them."""
+    parts = [f"SELECT {no} AS t, '{t}' AS tab, {i} AS i, column_name AS col, {_KIND} AS kind FROM (DESCRIBE {t}) WHERE column_name = '{c}'"
+             for no, (t, cols) in enumerate(columns.items()) for i, c in enumerate(cols.split())]
+    return "fields AS (" + " UNION ALL ".join(parts) + ")"
+
+
+_STAR, _TEXT = _counts_sql(STAR), _counts_sql(TEXT)
 _SIZES = "sizes AS (SELECT c, t, tab, col, count(*) AS m FROM vals GROUP BY ALL)"
 
 
@@ -274,7 +275,7 @@ def _tversky_sql(alpha: float, beta: float) -> str:
 
 
 def _fuzzy_sql(expr: str, threshold: float) -> str:
-    return f"""WITH {_WORDS}, {_SIZES},
+    return f"""WITH {_TEXT}, {_SIZES},
         near AS (SELECT x.v AS x, y.v AS y FROM (SELECT DISTINCT v FROM vals) x, (SELECT DISTINCT v FROM vals) y WHERE {expr} >= {X.float_cutoff(threshold)!r}),
         hits AS (SELECT a.c AS ca, b.c AS cb, a.t AS ta, b.t AS tb, count(DISTINCT a.v) AS m FROM vals a JOIN near ON a.v = x JOIN vals b ON b.v = y AND a.t <> b.t GROUP BY ALL),
         two AS (SELECT f.ca, f.cb, f.m AS ma, g.m AS mb FROM hits f JOIN hits g ON f.ca = g.cb AND f.cb = g.ca WHERE f.ta < f.tb)
@@ -284,7 +285,8 @@ def _fuzzy_sql(expr: str, threshold: float) -> str:
 
 
 _LONGEST = "greatest(length(x.v), length(y.v))"
-_HAMMING = f"(SELECT count(*) FROM range(1, least(length(x.v), length(y.v)) + 1) r(i) WHERE substr(x.v, i, 1) = substr(y.v, i, 1))::DOUBLE / {_LONGEST}"
+_SHORTEST = "least(length(x.v), length(y.v))"
+_HAMMING = f"({_SHORTEST} - hamming(left(x.v, {_SHORTEST}), left(y.v, {_SHORTEST})))::DOUBLE / {_LONGEST}"
 _DELIVERED = """best AS (SELECT source_table, source_column, target_table, target_column, max(score) AS score FROM match_entries
           WHERE source_table <> '' AND source_column <> '' AND target_table <> '' AND target_column <> ''
             AND score IS NOT NULL AND NOT isnan(score) AND score >= 0 AND score <= 1 GROUP BY ALL)"""
@@ -302,7 +304,7 @@ _TOKENS = f"""per AS (SELECT v, sum(n) AS n FROM vals GROUP BY v),
 _NUMBER_SQL = "regexp_full_match(trim(v), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
 
 SQL = {
-    "profile_columns": f"WITH {_STAR} SELECT tab AS \"table\", col AS \"column\", CASE WHEN col LIKE '%date' THEN 'timestamp' WHEN col IN ('c_acctbal', 's_acctbal', 'p_retailprice', 'o_totalprice', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax') THEN 'float' WHEN col LIKE '%key' OR col IN ('p_size', 'l_linenumber') THEN 'integer' ELSE 'text' END AS dtype, sum(n)::BIGINT AS n_values, count(*) AS n_distinct FROM vals GROUP BY ALL",
+    "profile_columns": f"WITH {_STAR}, {_fields_sql(STAR)} SELECT vals.tab AS \"table\", vals.col AS \"column\", kind AS dtype, sum(n)::BIGINT AS n_values, count(*) AS n_distinct FROM vals JOIN fields USING (t, col) GROUP BY ALL",
     "infer_types": f"""WITH {_STAR} SELECT tab AS "table", col AS "column", CASE WHEN bool_and(lower(trim(v)) IN ('true', 'false')) THEN 'boolean'
         WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+')) THEN 'integer' WHEN bool_and(regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) THEN 'float' ELSE 'text' END AS dtype FROM vals GROUP BY tab, col""",
     "sample_even": """WITH r AS (SELECT c_name AS value, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS l FROM customer WHERE c_name <> '')
@@ -322,9 +324,9 @@ SQL = {
         s AS (SELECT c, sum(k) AS k FROM g GROUP BY c), m AS (SELECT a.c AS ca, b.c AS cb, sum(least(a.k, b.k)) AS o FROM g a JOIN g b USING (g) GROUP BY ALL)
         SELECT x.tab AS source_table, x.col AS source_column, y.tab AS target_table, y.col AS target_column, round(coalesce(2 * o, 0)::DOUBLE / (p.k + q.k), 9) AS score
         FROM names x JOIN names y ON x.t < y.t JOIN s p ON p.c = x.c JOIN s q ON q.c = y.c LEFT JOIN m ON ca = x.c AND cb = y.c""",
-    "tfidf_idf": f"WITH {_WORDS}, {_TOKENS} SELECT token, df, round(idf, 9) AS idf FROM idf",
-    "tfidf_vectors": f"WITH {_WORDS}, {_TOKENS} SELECT v AS value, token, round(weight, 9) AS weight FROM vec",
-    "coma_instances": f"""WITH {_WORDS}, {_TOKENS},
+    "tfidf_idf": f"WITH {_TEXT}, {_TOKENS} SELECT token, df, round(idf, 9) AS idf FROM idf",
+    "tfidf_vectors": f"WITH {_TEXT}, {_TOKENS} SELECT v AS value, token, round(weight, 9) AS weight FROM vec",
+    "coma_instances": f"""WITH {_TEXT}, {_TOKENS},
         cos AS (SELECT a.v AS x, b.v AS y, least(sum(a.weight * b.weight), 1.0) AS c FROM vec a JOIN vec b USING (token) GROUP BY ALL),
         held AS (SELECT vals.* FROM vals SEMI JOIN filled USING (v)),
         best AS (SELECT l.c AS ca, r.c AS cb, l.t AS ta, r.t AS tb, l.v, any_value(l.n) AS n, max(cos.c) AS m FROM held l JOIN cos ON l.v = x JOIN held r ON r.v = y AND r.t <> l.t GROUP BY ALL),
@@ -335,10 +337,10 @@ SQL = {
         SELECT v AS value, count(*) OVER (ORDER BY num IS NULL, num, CASE WHEN num IS NULL THEN v END RANGE UNBOUNDED PRECEDING) AS rank FROM d""",
     "dist_quantiles": f"""WITH {_STAR}, d AS (SELECT DISTINCT v, CASE WHEN {_NUMBER_SQL} THEN CAST(trim(v) AS DOUBLE) END AS num FROM vals),
         k AS (SELECT v, count(*) OVER (ORDER BY num IS NULL, num, CASE WHEN num IS NULL THEN v END RANGE UNBOUNDED PRECEDING) AS rank FROM d),
-        u AS (SELECT c, tab, col, rank, sum(n) AS n FROM vals JOIN k USING (v) GROUP BY ALL),
-        r AS (SELECT *, sum(n) OVER (PARTITION BY c ORDER BY rank) AS hi, sum(n) OVER (PARTITION BY c) AS l FROM u),
-        p AS (SELECT DISTINCT c, tab, col, l, i, ((l - 1) * i) // 17 AS lo, ((l - 1) * i) % 17 AS rest FROM r, range(1, 17) q(i) WHERE l > 1),
-        a AS (SELECT p.*, rank AS low FROM p JOIN r ON r.c = p.c AND lo >= hi - n AND lo < hi), b AS (SELECT a.*, rank AS high FROM a JOIN r ON r.c = a.c AND lo + 1 >= hi - n AND lo + 1 < hi)
+        u AS (SELECT c, tab, col, rank, sum(n)::BIGINT AS n FROM vals JOIN k USING (v) GROUP BY ALL),
+        r AS (SELECT *, (sum(n) OVER (PARTITION BY c ORDER BY rank))::BIGINT - n AS lo, (sum(n) OVER (PARTITION BY c))::BIGINT AS l FROM u),
+        p AS (SELECT c, tab, col, l, i, ((l - 1) * i) // 17 AS at, ((l - 1) * i) // 17 + 1 AS next, ((l - 1) * i) % 17 AS rest FROM (SELECT DISTINCT c, tab, col, l FROM r WHERE l > 1), range(1, 17) q(i)),
+        a AS (SELECT p.*, r.rank AS low FROM p ASOF JOIN r ON p.c = r.c AND p.at >= r.lo), b AS (SELECT a.*, r.rank AS high FROM a ASOF JOIN r ON a.c = r.c AND a.next >= r.lo)
         SELECT tab AS "table", col AS "column", i::INT AS i, round((low * (17 - rest) + high * rest)::DOUBLE / 17, 6) AS boundary FROM b
         UNION ALL SELECT tab, col, 1, rank::DOUBLE FROM r WHERE l = 1""",
     "dist_bloom_bits": """WITH s AS (SELECT count(*) AS n FROM nation), k AS (SELECT floor(-n * ln(0.01) / ln(2) ^ 2)::BIGINT AS bits, greatest(1, floor(floor(-n * ln(0.01) / ln(2) ^ 2) / n * ln(2)))::BIGINT AS hashes FROM s)

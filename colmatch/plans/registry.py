@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colmatch.plans import matching, prepared
+from colmatch.plans import matching, prepared, scalar
 
-_MODULES = [matching, prepared]
+_MODULES = [matching, scalar, prepared]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,9 +295,9 @@ def test_text_queries_read_every_text_column(spark):
             m, k = (hit(x, y), hit(y, x)) if no < other else (0, 0)
             if m:
                 want[t, c, u, d] = pytest.approx(max(m / (len(x) + len(y) - k), k / (len(x) + len(y) - m)), abs=1e-9)
-    got = {tuple(r)[:4]: r.score for r in matching.QUERIES["jaccard_lev_text"](spark, data).collect()}
+    got = {tuple(r)[:4]: r.score for r in matching.QUERIES["jaccard_lev"](spark, data).collect()}
     assert got == want and ("customer", "c_name", "supplier", "s_name") in got
-    held = {r.value for r in matching.QUERIES["tfidf_vectors_text"](spark, data).collect()}
+    held = {r.value for r in matching.QUERIES["tfidf_vectors"](spark, data).collect()}
     assert {v for _, _, c, x in sets for v in x if c in ("c_name", "s_name", "p_brand")} <= held
 
 
