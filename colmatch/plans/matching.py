@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colmatch.functions import expressions as X
 from colmatch.operators import coma, cupid, distribution, flooding, jaccard, metrics, results, suggest
+from colmatch.plans import scalar as S
 from colmatch.plans.shared import table
 from colmatch.sources import profile
 
@@ -230,7 +231,56 @@ def metrics_mrr(spark, sf_dir):
     return spark.createDataFrame([(round(metrics.mean_reciprocal_rank(jaccard_exact(spark, sf_dir), truth(spark)), 9),)], "mrr double")
 
 
+def metrics_selection(spark, sf_dir):
+    """The named measures of a mutual-top selection and of all candidates."""
+    got = metrics.get_metrics(jaccard_exact(spark, sf_dir), truth(spark), how="mutual_top")
+    return spark.createDataFrame([(k, round(v, 9)) for k, v in got.items()], "metric string, value double")
+
+
+def dist_shared(spark, sf_dir, bloom=False):
+    """How many values of a column another one holds, with repeats: by value, or by its Bloom filter."""
+    p = _profile(spark, sf_dir, SMALL)
+    shared = distribution.shared_ranks(distribution.column_ranks(p), [c.col_id for c in p.columns], bloom)
+    return p.named(shared.groupBy("a", "b").agg(F.sum("n").alias("n_shared")))
+
+
+def dist_bloom_shared(spark, sf_dir):
+    return dist_shared(spark, sf_dir, True)
+
+
+def scan_csv(spark, sf_dir):
+    """The customers, written as CSV and read again: all columns text."""
+    return _scanned(spark, sf_dir, "customer", "csv")
+
+
+def scan_json(spark, sf_dir):
+    """The nations, written as an array of objects and read again."""
+    return _scanned(spark, sf_dir, "nation", "json")
+
+
+def _scanned(spark, sf_dir, name: str, kind: str):
+    from colmatch.plans.shared import shared_path
+    from colmatch.sources import readers
+
+    t = table(spark, sf_dir, name).select(*(F.col(c).cast("string").alias(c) for c in STAR[name].split()))
+    path = f"{shared_path(spark, kind)}.{kind}"
+    if kind == "csv":
+        t.write.csv(path, header=True, quote='"', escape='"')
+    else:
+        t.agg(F.to_json(F.collect_list(F.struct(*t.columns))).alias("value")).write.text(path)  # one document is one row
+    return readers.from_path(spark, path)
+
+
+def scan_types(spark, sf_dir):
+    """Types inferred from the texts of customers and suppliers."""
+    tables = [(n, table(spark, sf_dir, n).select(*(F.col(c).cast("string").alias(c) for c in STAR[n].split()))) for n in ("customer", "supplier")]
+    p = profile.with_inferred_types(profile.from_dataframes(tables))
+    return p.table().select("table", "column", "dtype")
+
+
+SMALL = {t: STAR[t] for t in ("region", "nation", "customer", "supplier")}
 QUERIES = {f.__name__: f for f in (
+    metrics_selection, dist_shared, dist_bloom_shared, scan_csv, scan_json, scan_types,
     profile_columns, infer_types, sample_even, jaccard_exact, tversky_containment, tversky_asym, jaccard_cosine, work_counts, name_trigram, coma_name, tfidf_idf, tfidf_vectors,
     coma_instances, coma_combined, suggest_candidates, suggest_decisions, dist_ranks, dist_quantiles, dist_bloom_bits, dist_matches, flood_weights, flood_scores, cupid_scores,
     rank_top_n, rank_top_percent, rank_per_source, mutual_top, default_cutoff, score_filter, greedy_select, metrics_prf, metrics_topn_curve, metrics_recall_at_gold, metrics_mrr)}
@@ -303,7 +353,92 @@ _TOKENS = f"""per AS (SELECT v, sum(n) AS n FROM vals GROUP BY v),
         vec AS (SELECT v, token, w / sqrt(sum(w * w) OVER (PARTITION BY v)) AS weight FROM w WHERE w > 0)"""
 _NUMBER_SQL = "regexp_full_match(trim(v), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
 
+_NAMED = """nm AS (SELECT x.t AS t, y.t AS u, x.tab AS source_table, x.col AS a, y.tab AS target_table, y.col AS b FROM fields x JOIN fields y ON x.t < y.t),
+        pr AS (SELECT DISTINCT a, b FROM nm)"""
+
+
+def _coma_sql(columns: dict[str, str], max_n: int = 0, weight: float | None = None, delta: float = 0.15) -> str:
+    """Names by trigrams or tokens, with instances if ``weight`` is given, cut on both sides of each table pair."""
+    inst = ""
+    score = "n"
+    if weight is not None:
+        inst = f", {_counts_sql(columns)}, {_TOKENS}, {_INSTANCES}"
+        score = f"(n + {weight!r} * coalesce(i, 0)) / {1 + weight!r}"
+    join = "LEFT JOIN inst ON inst.source_table = nm.source_table AND inst.source_column = nm.a AND inst.target_table = nm.target_table AND inst.target_column = nm.b" if weight is not None else ""
+    i = "inst.score" if weight is not None else "NULL::DOUBLE"
+    cut = lambda side: (f"greatest(max(score) OVER (PARTITION BY t, u, {side}) * {1 - delta!r}" + (
+        f", list_reverse_sort(list(score) OVER (PARTITION BY t, u, {side}))[least({max_n}, count(*) OVER (PARTITION BY t, u, {side}))]" if max_n else "") + ")")
+    return f"""WITH RECURSIVE {_fields_sql(columns)}{inst}, {_NAMED}, {S.trigram_sql('pr')}, {S.tokens_similarity_sql('pr')},
+        sc AS (SELECT nm.*, greatest(x.score, y.score) AS n, {i} AS i FROM nm JOIN trisim x ON x.a = nm.a AND x.b = nm.b JOIN toksim y ON y.a = nm.a AND y.b = nm.b {join}),
+        st AS (SELECT *, {score} AS score FROM sc), ct AS (SELECT *, {cut('a')} AS ca, {cut('b')} AS cb FROM st)
+        SELECT source_table, a AS source_column, target_table, b AS target_column, round(score, 9) AS score FROM ct WHERE score > 0 AND score >= ca AND score >= cb"""
+
+
+_INSTANCES = """cos AS (SELECT a.v AS x, b.v AS y, least(sum(a.weight * b.weight), 1.0) AS c FROM vec a JOIN vec b USING (token) GROUP BY ALL),
+        held AS (SELECT vals.* FROM vals SEMI JOIN filled USING (v)),
+        best AS (SELECT l.c AS ca, r.c AS cb, l.t AS ta, r.t AS tb, l.v, any_value(l.n) AS n, max(cos.c) AS m FROM held l JOIN cos ON l.v = x JOIN held r ON r.v = y AND r.t <> l.t GROUP BY ALL),
+        s AS (SELECT ca, cb, ta, tb, sum(m * n) AS s FROM best GROUP BY ALL), occ AS (SELECT c, tab, col, sum(n) AS o FROM held GROUP BY ALL),
+        inst AS (SELECT p.tab AS source_table, p.col AS source_column, q.tab AS target_table, q.col AS target_column, (f.s + g.s) / (p.o + q.o) AS score
+                 FROM s f JOIN s g ON f.ca = g.cb AND f.cb = g.ca AND f.ta < f.tb JOIN occ p ON p.c = f.ca JOIN occ q ON q.c = f.cb)"""
+_TWO = {t: STAR[t] for t in ("customer", "supplier")}
+_EDGES = f"""{_fields_sql(STAR)}, ft AS (SELECT t, tab, i, col, CASE kind WHEN 'integer' THEN 'int' WHEN 'float' THEN 'float' WHEN 'decimal' THEN 'float' WHEN 'date' THEN 'date' WHEN 'timestamp' THEN 'date' ELSE 'varchar' END AS k FROM fields),
+        fn AS (SELECT *, i = min(i) OVER (PARTITION BY t, k) AS fresh FROM ft),
+        fs AS (SELECT *, 3 + coalesce(sum(CASE WHEN i = 0 THEN 3 ELSE 2 END + CASE WHEN fresh AND i = 0 THEN 3 WHEN fresh THEN 2 ELSE 0 END)
+                  OVER (PARTITION BY t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS c FROM fn),
+        fc AS (SELECT *, c + CASE WHEN i = 0 THEN 2 ELSE 1 END AS name FROM fs),
+        fo AS (SELECT *, max(CASE WHEN fresh THEN name + 1 END) OVER (PARTITION BY t, k) AS owner FROM fc),
+        ed AS (SELECT DISTINCT t, 0 AS u, 1 AS v, 'Name' AS label FROM fo UNION ALL SELECT DISTINCT t, 0, 2, 'Type' FROM fo UNION ALL SELECT t, c, 4, 'Type' FROM fo UNION ALL SELECT t, 0, c, 'Column' FROM fo
+               UNION ALL SELECT t, c, name, 'Name' FROM fo UNION ALL SELECT t, c, owner, 'SqlType' FROM fo
+               UNION ALL SELECT t, owner, 7, 'Type' FROM fo WHERE fresh UNION ALL SELECT t, owner, CASE WHEN i = 0 THEN owner + 2 ELSE owner + 1 END, 'Name' FROM fo WHERE fresh),
+        dg AS (SELECT *, count(*) OVER (PARTITION BY t, label, u) AS dout, count(*) OVER (PARTITION BY t, label, v) AS din FROM ed),
+        bo AS (SELECT x.t AS g_1, y.t AS g_2, x.u AS u1, x.v AS v1, y.u AS u2, y.v AS v2, x.dout AS o1, y.dout AS o2, x.din AS i1, y.din AS i2 FROM dg x JOIN dg y ON x.label = y.label AND x.t < y.t)"""
+
+def _selection_sql() -> str:
+    on = "SEMI JOIN truth USING (source_table, source_column, target_table, target_column)"
+    part = lambda n: f"(SELECT count(*) FROM (SELECT * FROM ms WHERE r <= ceil({n} * c / 100)) {on})::DOUBLE / (SELECT ceil({n} * any_value(c) / 100) FROM ms)"
+    rows = [f"SELECT 'Precision' AS metric, hit::DOUBLE / f AS value FROM k", "SELECT 'Recall', hit::DOUBLE / g FROM k", "SELECT 'F1Score', 2.0 * hit / (f + g) FROM k"]
+    rows += [f"SELECT 'PrecisionTop{n}Percent', {part(n)}" for n in (10, 30, 50, 70, 90)]
+    rows += [f"SELECT 'RecallAtSizeofGroundTruth', (SELECT count(*) FROM (SELECT * FROM j {_RANK} LIMIT {len(TRUTH)}) {on})::DOUBLE / {len(TRUTH)}",
+             f"SELECT 'MeanReciprocalRank', (SELECT sum(rr) FROM (SELECT 1.0 / min(r) AS rr FROM rs {on} GROUP BY source_table, source_column)) / (SELECT count(*) FROM (SELECT DISTINCT source_table, source_column FROM truth))"]
+    return f"""WITH j AS ({_JACCARD}), {_TRUTH}, rs AS (SELECT *, row_number() OVER (PARTITION BY source_table, source_column {_RANK}) AS r, row_number() OVER (PARTITION BY target_table, target_column {_RANK}) AS q FROM j),
+        ms AS (SELECT * EXCLUDE (r, q), row_number() OVER ({_RANK}) AS r, count(*) OVER () AS c FROM rs WHERE r = 1 AND q = 1),
+        k AS (SELECT (SELECT count(*) FROM ms {on}) AS hit, (SELECT count(*) FROM ms) AS f, {len(TRUTH)} AS g)
+        SELECT metric, round(value::DOUBLE, 9) AS value FROM ({' UNION ALL '.join(rows)})"""
+
+
+def _texts_sql(name: str) -> str:
+    return "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in STAR[name].split()) + f" FROM {name}"
+
+
+_SHARED_SQL = f"""WITH {_counts_sql(SMALL)}, {_SIZES}, own AS (SELECT c, sum(n)::BIGINT AS n FROM vals GROUP BY c)"""
+_NAMED_SHARED = "x.tab AS source_table, x.col AS source_column, y.tab AS target_table, y.col AS target_column"
+
 SQL = {
+    "metrics_selection": _selection_sql(), "scan_csv": _texts_sql("customer"), "scan_json": _texts_sql("nation"),
+    "scan_types": f"""WITH {_counts_sql(_TWO)} SELECT tab AS "table", col AS "column", CASE WHEN bool_and(lower(trim(v)) IN ('true', 'false')) THEN 'boolean'
+        WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+')) THEN 'integer' WHEN bool_and(regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) THEN 'float' ELSE 'text' END AS dtype FROM vals GROUP BY tab, col""",
+    "dist_shared": f"""{_SHARED_SQL} SELECT {_NAMED_SHARED}, sum(a.n)::BIGINT AS n_shared FROM vals a JOIN vals b ON a.v = b.v AND a.c <> b.c JOIN sizes x ON x.c = a.c JOIN sizes y ON y.c = b.c GROUP BY ALL""",
+    "dist_bloom_shared": f"""{_SHARED_SQL}, sh AS (SELECT c, greatest(1, floor(-n * ln(0.01) / ln(2) ^ 2))::BIGINT AS bits, greatest(1, floor(floor(-n * ln(0.01) / ln(2) ^ 2) / n * ln(2)))::BIGINT AS hashes FROM own),
+        hs AS (SELECT v, s, ('0x' || substr(sha256(s || ':' || v), 1, 16))::UBIGINT AS h FROM (SELECT DISTINCT v FROM vals), range(0, (SELECT max(hashes) FROM sh)) r(s)),
+        bt AS (SELECT DISTINCT vals.c, (h % bits)::BIGINT AS bit FROM vals JOIN sh ON sh.c = vals.c JOIN hs ON hs.v = vals.v AND hs.s < hashes),
+        hit AS (SELECT a.c AS a, sh.c AS b, a.v, any_value(a.n) AS n FROM vals a JOIN sh ON sh.c <> a.c JOIN hs ON hs.v = a.v AND hs.s < hashes JOIN bt ON bt.c = sh.c AND bt.bit = (h % bits)::BIGINT GROUP BY a.c, sh.c, a.v HAVING count(*) = any_value(hashes))
+        SELECT {_NAMED_SHARED}, sum(hit.n)::BIGINT AS n_shared FROM hit JOIN sizes x ON x.c = a JOIN sizes y ON y.c = b GROUP BY ALL""",
+    "coma_name": _coma_sql(STAR), "coma_combined": _coma_sql(TEXT, 2, 2.5),
+    "flood_weights": f"""WITH {_EDGES}, pe AS (SELECT g_1, g_2, v1 AS from_1, v2 AS from_2, u1 AS to_1, u2 AS to_2, 2.0 / (i1 + i2) AS w, 0 AS prio FROM bo UNION ALL SELECT g_1, g_2, u1, u2, v1, v2, 2.0 / (o1 + o2), 1 FROM bo)
+        SELECT g_1, g_2, from_1, from_2, to_1, to_2, arg_max(w, prio)::DOUBLE AS weight FROM pe GROUP BY ALL""",
+    "suggest_candidates": f"""WITH {_fields_sql(_TWO)}, {_counts_sql(_TWO)}, cl AS (SELECT DISTINCT col, lower(trim(v)) AS v FROM vals WHERE trim(v) <> ''), sz AS (SELECT col, count(*) AS n FROM cl GROUP BY col),
+        sh AS (SELECT a.col AS a, b.col AS b, count(*) AS s FROM cl a JOIN cl b USING (v) GROUP BY ALL),
+        sc AS (SELECT x.col AS source, y.col AS target, {S.name_score_sql('x.col', 'y.col')} AS name_score,
+                 CASE WHEN x.kind = y.kind THEN 1.0 WHEN x.kind IN ('integer', 'float', 'decimal') AND y.kind IN ('integer', 'float', 'decimal') THEN 0.75 WHEN x.kind IN ('date', 'timestamp') AND y.kind IN ('date', 'timestamp') THEN 0.65 ELSE 0.0 END::DOUBLE AS type_score,
+                 CASE WHEN p.n < 2 OR q.n < 2 THEN 0.0 ELSE coalesce(s, 0)::DOUBLE / greatest(p.n, q.n) END AS sample
+               FROM fields x JOIN fields y ON x.tab = 'customer' AND y.tab = 'supplier' JOIN sz p ON p.col = x.col JOIN sz q ON q.col = y.col LEFT JOIN sh ON sh.a = x.col AND sh.b = y.col),
+        tp AS (SELECT *, max(sample) OVER (PARTITION BY source) AS top FROM sc), tm AS (SELECT *, count(*) FILTER (abs(sample - top) <= 1e-12) OVER (PARTITION BY source) AS many FROM tp)
+        SELECT source, target, round(name_score, 9) AS name_score, type_score, round(CASE WHEN top > 0 AND many > 1 AND abs(sample - top) <= 1e-12 THEN sample / 2 ELSE sample END, 9) AS sample_score FROM tm""",
+    "greedy_select": f"""WITH RECURSIVE j AS ({_JACCARD}), r AS (SELECT *, row_number() OVER ({_RANK}) AS k, source_table || '.' || source_column AS s, target_table || '.' || target_column AS g FROM j WHERE score >= 0.3),
+        w(k, ss, gs, took) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[] UNION ALL
+          SELECT rk, CASE WHEN ok THEN list_append(ss, s) ELSE ss END, CASE WHEN ok THEN list_append(gs, g) ELSE gs END, CASE WHEN ok THEN list_append(took, rk) ELSE took END
+          FROM (SELECT ss, gs, took, r.k AS rk, r.s, r.g, NOT list_contains(ss, r.s) AND NOT list_contains(gs, r.g) AS ok FROM w JOIN r ON r.k = w.k + 1))
+        SELECT {_FIVE} FROM r WHERE list_contains((SELECT took FROM w ORDER BY k DESC LIMIT 1), k)""",
     "profile_columns": f"WITH {_STAR}, {_fields_sql(STAR)} SELECT vals.tab AS \"table\", vals.col AS \"column\", kind AS dtype, sum(n)::BIGINT AS n_values, count(*) AS n_distinct FROM vals JOIN fields USING (t, col) GROUP BY ALL",
     "infer_types": f"""WITH {_STAR} SELECT tab AS "table", col AS "column", CASE WHEN bool_and(lower(trim(v)) IN ('true', 'false')) THEN 'boolean'
         WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+')) THEN 'integer' WHEN bool_and(regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) THEN 'float' ELSE 'text' END AS dtype FROM vals GROUP BY tab, col""",
