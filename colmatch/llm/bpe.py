@@ -5,10 +5,11 @@ rank map is a literal: an array of small maps, found by CRC32 of the piece. A wo
 is folded by merging the neighbours of lowest rank, one merge per step, while the
 ranks of the pairs are carried along so that a step looks up two pairs only.
 
-The most frequent words of the corpus that aren't single tokens are folded once
-and become a second literal of at most ``dictionary_words`` entries, a fixed bound.
-Every other word is folded where it stands, so no word is treated otherwise than
-another and no text leaves its row: the only shuffle is the count of words.
+The most frequent words of the corpus are folded once and become a second literal
+of at most ``dictionary_words`` entries, a fixed bound, found by the hash of the word
+as it stands in the text. Every other word is turned into bytes and folded where it
+stands, so no word is treated otherwise than another and no text leaves its row: the
+only shuffle is the count of words.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from colmatch.plans.shared import spread
 
 # The split pattern of the vocabulary, with white space as Unicode has it.
 _W, _L, _N = r"\p{IsWhite_Space}", r"\p{L}", r"\p{N}"
-SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?[^{_W}{_L}{_N}]+|{_W}+(?![^{_W}])|{_W}+"
+SPLIT = rf" ?{_L}++|'(?:[stmd]|re|ve|ll)| ?{_N}++| ?[^{_W}{_L}{_N}]++|{_W}+(?![^{_W}])|{_W}+"
 _NONE = 2_147_483_647
 _RANK_BUCKETS = 16_384
 
@@ -66,30 +67,31 @@ def byte_string(text: Column) -> Column:
 
 
 def split_words(text: Column) -> Column:
-    """The pieces that are encoded one by one, as byte strings; none for null and empty text."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPLIT), F.lit(0)), byte_string)
+    """The pieces of a text that are encoded one by one; none for null and empty text."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPLIT), F.lit(0))
 
 
 def _fold(word: Column, rank) -> Column:
     """The ids of a word of two bytes or more. ``rank(piece)``: its rank, or null."""
     pair = lambda a, b: F.coalesce(rank(F.concat(a, b)), F.lit(_NONE))
 
+    none = F.array().cast("array<int>")
+
     def merge(state: Column, at: Column) -> Column:
         p, r = state["p"], state["r"]
-        n = F.size(p)
 
         def joined(m: Column) -> Column:
-            left = F.when(at > 1, F.array(pair(F.get(p, at - 2), m))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 1 < n, F.array(pair(m, F.get(p, at + 1)))).otherwise(F.array().cast("array<int>"))
+            left = F.when(at > 1, F.array(pair(F.get(p, at - 2), m))).otherwise(none)
+            right = F.when(at < F.size(r), F.array(pair(m, F.get(p, at + 1)))).otherwise(none)
             return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, n)).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, n)).alias("r"))
+                F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"))
 
         return _let(F.concat(F.get(p, at - 1), F.get(p, at)), joined)
 
     def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state["r"]), lambda least: F.when(F.coalesce(least, F.lit(_NONE)) == _NONE, state).otherwise(
-            merge(state, F.array_position(state["r"], least).cast("int"))))
+        mended = lambda least: F.when(least < _NONE, _let(F.array_position(state["r"], least).cast("int"), lambda at: merge(state, at))).otherwise(state)
+        return _let(F.array_min(state["r"]), mended)
 
     def run(chars: Column) -> Column:
         start = F.struct(chars.alias("p"), F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: pair(F.get(chars, i - 1), F.get(chars, i))).alias("r"))
@@ -98,41 +100,34 @@ def _fold(word: Column, rank) -> Column:
     return _let(F.split(word, ""), run)
 
 
-def _ids_of(words: Column, path: str, dictionary: dict[str, list[int]] | None = None) -> Column:
-    """array<array<int>>: the ids of each word."""
+def _ids_of(words: Column, path: str, known: Column | None = None, buckets: int = 0) -> Column:
+    """array<array<int>>: the ids of each word. ``known``: ids by word, in ``buckets`` maps by hash."""
     def with_ranks(ranks: Column) -> Column:
         rank = lambda piece: _find(ranks, _RANK_BUCKETS, piece)
-
-        def encode(words: Column, known: Column | None, buckets: int) -> Column:
-            def one(w: Column) -> Column:
-                def missing(_: Column) -> Column:
-                    folded = _fold(w, rank)
-                    return folded if known is None else F.coalesce(_find(known, buckets, w), folded)
-
-                whole = rank(w)
-                return _let(whole, lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(missing(r)))
-
-            return F.transform(words, one)
-
-        if not dictionary:
-            return encode(words, None, 0)
-        buckets = max(64, len(dictionary) // 2)
-        return _let(_bucketed(dictionary, buckets, "array<int>"), lambda known: encode(words, known, buckets))
+        one = lambda b: _let(rank(b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(_fold(b, rank)))
+        folded = lambda w: _let(byte_string(w), one)
+        if known is None:
+            return F.transform(words, folded)
+        there = lambda maps: F.transform(words, lambda w: F.coalesce(F.try_element_at(F.get(maps, F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")), w), folded(w)))
+        return _let(known, there)
 
     return _let(_bucketed(load_ranks(path), _RANK_BUCKETS, "int"), with_ranks)
 
 
-def frequent_words(df: DataFrame, text: str, path: str, dictionary_words: int) -> dict[str, list[int]]:
-    """Ids of the most frequent words that aren't single tokens; at most ``dictionary_words``."""
-    single = _bucketed(load_ranks(path), _RANK_BUCKETS, "int")
-    words = _let(single, lambda ranks: F.filter(split_words(F.col(text)), lambda w: _find(ranks, _RANK_BUCKETS, w).isNull()))
-    counted = (df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def frequent_words(df: DataFrame, text: str, path: str, dictionary_words: int) -> tuple[Column | None, int]:
+    """(literal maps from word to ids of the most frequent words, their number); at most ``dictionary_words`` words."""
+    counted = (df.select(F.explode(split_words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                  .orderBy(F.desc("n"), "word").limit(dictionary_words))
-    coded = counted.select("word").repartition(df.sparkSession.sparkContext.defaultParallelism).select("word", F.get(_ids_of(F.array("word"), path), F.lit(0)).alias("ids"))
-    return {r.word: list(r.ids) for r in coded.collect()}
+    buckets = max(64, dictionary_words // 2)
+    coded = counted.select("word").repartition(df.sparkSession.sparkContext.defaultParallelism).select(
+        "word", F.get(_ids_of(F.array("word"), path), F.lit(0)).alias("ids"), F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("at"))
+    maps: list[dict] = [{} for _ in range(buckets)]
+    for r in coded.collect():
+        maps[r["at"]][r["word"]] = list(r["ids"])
+    return (F.from_json(F.lit(json.dumps(maps)), "array<map<string,array<int>>>") if any(maps) else None), buckets
 
 
-def encode(df: DataFrame, text: str, path: str | None = None, ids: str = "ids", dictionary_words: int = 32_768) -> DataFrame:
+def encode(df: DataFrame, text: str, path: str | None = None, ids: str = "ids", dictionary_words: int = 49_152) -> DataFrame:
     """``df`` with the token ids of ``text``, array<int>, without special tokens.
 
     Null and empty texts have the empty list. Strings that look like special tokens
@@ -141,8 +136,8 @@ def encode(df: DataFrame, text: str, path: str | None = None, ids: str = "ids",
     """
     path = path or vocabulary_path()
     df = spread(df)
-    known = frequent_words(df, text, path, dictionary_words) if dictionary_words else {}
-    return df.withColumn(ids, F.flatten(_ids_of(split_words(F.col(text)), path, known)))
+    known = frequent_words(df, text, path, dictionary_words) if dictionary_words else (None, 0)
+    return df.withColumn(ids, F.flatten(_ids_of(split_words(F.col(text)), path, *known)))
 
 
 def decode(df: DataFrame, ids: str, path: str | None = None, text: str = "decoded") -> DataFrame:
