@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmatch.operators import drift, nested
 from colmatch.plans.shared import spread, table
 
+# the array levels of an event: kind of row, path below the event, field
 LEVELS = [
-    ("party", "$.eventRouting.originatingParties", "partyCode"),
-    ("document", "$.shipmentDetails.documentReference", "type"),
-    ("additional_document", "$.shipmentDetails.additionalDocumentReferences", "type"),
+    ("party", "eventRouting.originatingParties", "partyCode"),
+    ("document", "shipmentDetails.documentReference", "type"),
+    ("additional_document", "shipmentDetails.additionalDocumentReferences", "type"),
 ]
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The events of all messages and their child tables."""
+    m = spread(table(spark, sf_dir, "raw_messages").select("message_id", "payload"))
+    return nested.child_tables(m, "message_id", "payload", records_key="events", only=["$", *(f"$[].{path}" for _, path, _ in LEVELS)])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parties and document references of every event of every message."""
-    m = spread(table(spark, sf_dir, "raw_messages").select("message_id", "payload")).select("message_id", nested.parse(F.col("payload")).alias("doc"))
-    events = nested.explode_level(m, nested.records(F.col("doc"), "events"), "event_pos", "event").drop("doc")
-    rows = nested.child_rows(events, "event", LEVELS)
-    return rows.select("message_id", "event_pos", "kind", "item_pos", F.col("value").alias("code_value"))
+    tables, parts = _tables(spark, sf_dir), []
+    for kind, path, field in LEVELS:
+        rows = tables[f"$[].{path}[]"].where("is_object")
+        value = F.coalesce(field, F.lit("")) if field in rows.columns else F.lit("")
+        parts.append(rows.select("message_id", F.get("places", F.lit(0)).alias("event_pos"), F.lit(kind).alias("kind"), F.col("ordinal").alias("item_pos"), value.alias("code_value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all rows of the event table and its child tables."""
+    parts = [t.select(F.lit(path).alias("level"), "message_id", "row_key", "parent_key", "ordinal", "is_object") for path, t in _tables(spark, sf_dir).items() if path != "$"]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p2_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +55,30 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unify(table(spark, sf_dir, "visit_files"), table(spark, sf_dir, "visit_rows"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_schema": p2_schema, "p3_found": p3_found, "p3_unified": p3_unified}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_tables": p2_tables, "p2_schema": p2_schema, "p3_found": p3_found, "p3_unified": p3_unified}
+# payloads unwrapped and checked, then their events with places, then the objects and arrays of an event
+_EVENTS = """w0 AS (SELECT message_id, payload AS d FROM raw_messages WHERE json_valid(payload)),
+        w1 AS (SELECT message_id, CASE WHEN json_type(d) = 'VARCHAR' THEN d ->> '$' ELSE d END AS d FROM w0), w2 AS (SELECT message_id, CASE WHEN json_valid(d) AND json_type(d) = 'VARCHAR' THEN d ->> '$' ELSE d END AS d FROM w1 WHERE json_valid(d)),
+        docs AS (SELECT message_id, d::JSON AS d FROM w2 WHERE json_valid(d) AND json_type(d) <> 'VARCHAR'),
+        tops AS (SELECT message_id, CASE WHEN json_type(d) = 'OBJECT' AND list_contains(json_keys(d), 'events') THEN json_extract(d, '$.events') ELSE d END AS e FROM docs),
+        evs AS (SELECT message_id, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS event_pos FROM (
+          SELECT message_id, CASE json_type(e) WHEN 'ARRAY' THEN json_extract(e, '$[*]') WHEN 'OBJECT' THEN [e] END AS es FROM tops)),
+        ev AS (SELECT * FROM evs WHERE json_type(e) <> 'NULL'),
+        lists AS (""" + " UNION ALL ".join(
+    f"SELECT message_id, event_pos, '{kind}' AS kind, '$[].{path}[]' AS level, '{field}' AS field, json_extract(e, '$.{path}') AS v FROM ev" for kind, path, field in LEVELS) + """),
+        its AS (SELECT * EXCLUDE (v, xs), unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS item_pos FROM (
+          SELECT *, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN [v] END AS xs FROM lists)),
+        it AS (SELECT * FROM its WHERE json_type(x) <> 'NULL')"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_EVENTS} SELECT message_id, event_pos, kind, item_pos, coalesce(json_extract_string(x, '$.' || field), '') AS code_value FROM it WHERE json_type(x) = 'OBJECT'""",
+    "p2_tables": f"""WITH {_EVENTS} SELECT '$[]' AS level, message_id, message_id || '/$[]:' || event_pos AS row_key, message_id::VARCHAR AS parent_key, event_pos AS ordinal, json_type(e) = 'OBJECT' AS is_object FROM ev
+        UNION ALL SELECT level, message_id, message_id || '/$[]:' || event_pos || '/' || level || ':' || item_pos, message_id || '/$[]:' || event_pos, item_pos, json_type(x) = 'OBJECT' FROM it""",
+    "p2_schema": """WITH RECURSIVE w0 AS (SELECT payload AS d FROM raw_messages WHERE json_valid(payload)), w1 AS (SELECT CASE WHEN json_type(d) = 'VARCHAR' THEN d ->> '$' ELSE d END AS d FROM w0),
+        w2 AS (SELECT CASE WHEN json_type(d) = 'VARCHAR' THEN d ->> '$' ELSE d END AS d FROM w1 WHERE json_valid(d)),
+        t(path, v) AS (SELECT '$', d::JSON FROM w2 WHERE json_valid(d) AND json_type(d) <> 'VARCHAR' UNION ALL
+          SELECT path || u.k, u.x FROM (SELECT path, unnest(CASE json_type(v)
+            WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'k': '.' || k, 'x': json_extract(v, '$."' || k || '"')})
+            WHEN 'ARRAY' THEN list_transform(json_extract(v, '$[*]'), lambda x: {'k': '[]', 'x': x}) ELSE [] END) AS u FROM t))
+        SELECT path, CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind, count(*) AS n FROM t GROUP BY ALL""",
+}

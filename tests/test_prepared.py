@@ -62,6 +62,18 @@ def test_merged_schema_and_child_tables(spark):
         nested.child_tables(df, "id", "j", max_paths=2)
 
 
+def test_child_tables_of_records(spark):
+    """Records at a key, in a top-level array or alone; only the arrays asked for are levels."""
+    rows = [(1, '{"ev":[{"a":{"p":[{"c":"x"},null,{"c":1.50},{}]}},null,{"a":{"p":{"c":null}}}]}'), (2, '[{"a":[{"p":[{"c":"no"}]}]}, 5]'), (3, '{"a":{"p":["s",{"c":[1,2]}]}}'), (4, None), (5, "{"), (6, '"{\\"ev\\":{\\"a\\":{\\"p\\":[{\\"c\\":\\"y\\"}]}}}"'), (7, '{"ev":3}')]
+    df = spark.createDataFrame(rows, "id long, j string").withColumn("ordinal", F.lit("clash"))
+    t = nested.child_tables(df, "id", "j", records_key="ev", only=["$", "$[].a.p", "$[].z"])
+    assert set(t) == {"$", "$[]", "$[].a.p[]", "$[].z[]"} and t["$[].z[]"].count() == 0
+    assert sorted((r.id, r.ordinal, r.is_object) for r in t["$[]"].collect()) == [(1, 0, True), (1, 2, True), (2, 0, True), (2, 1, False), (3, 0, True), (6, 0, True)]
+    got = sorted((r.id, list(r.places), r.is_object, r.c, r.parent_key) for r in t["$[].a.p[]"].collect())
+    assert [x[:3] for x in got] == [(1, [0, 0], True), (1, [0, 2], True), (1, [0, 3], True), (1, [2, 0], True), (3, [0, 0], False), (3, [0, 1], True), (6, [0, 0], True)]
+    assert [x[3] for x in got] == ["x", "1.50", None, None, None, '["1","2"]', "y"] and {x[4] for x in got} <= {r.row_key for r in t["$[]"].collect()}
+
+
 # --- drifting schemas -------------------------------------------------------------
 
 FILES = "file_id long, site string, extract_no int, arrived_at timestamp, declared_fields array<struct<name:string,data_type:string>>"
