@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colmatch.functions.expressions import let
+from colmatch.functions.names import trigram_similarity
 from colmatch.operators.tree_edit import FORBIDDEN, Node, edit_script
 from colmatch.plans.shared import materialize
 
@@ -110,14 +111,19 @@ def value_evidence(pairs: DataFrame, rows: DataFrame, least_distinct: float = 0.
                  .dropDuplicates(["file_id", "side", "row_key"]))
     told = materialize(told, "cells")
     values = told.select("file_id", "side", "row_key", F.inline("kept"))
-    keen = (values.groupBy("file_id", "side", "name").agg((F.approx_count_distinct("value") >= least_distinct * F.count(F.lit(1))).alias("keen"))
-                  .groupBy("file_id", "name").agg(F.min("keen").alias("keen"), F.count(F.lit(1)).alias("n")).where("keen and n = 2").select("file_id", "name"))
-    values = values.join(keen, ["file_id", "name"])
+    # values held once on one side at least can tell records apart, and meet in no more rows than there are
+    per = values.groupBy("file_id", "name", "value").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    keen = (per.groupBy("file_id", "name").agg(*(F.sum(f"n{i}").alias(f"s{i}") for i in (0, 1)), *(F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in (0, 1)))
+               .where(" and ".join(f"d{i} > 0 and d{i} >= {least_distinct} * s{i}" for i in (0, 1))).select("file_id", "name"))
+    telling = per.where("n0 > 0 and n1 > 0 and least(n0, n1) = 1").join(keen, ["file_id", "name"]).select("file_id", "name", "value", (F.greatest("n0", "n1") == 1).alias("sure"))
     a = values.where("side = 0").select("file_id", "name", "value", F.col("row_key").alias("row_a"))
     b = values.where("side = 1").select("file_id", "name", "value", F.col("row_key").alias("row_b"))
-    votes = a.join(b, ["file_id", "name", "value"]).groupBy("file_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("file_id", "row_b").agg(F.max_by("row_a", F.struct("votes", "row_a")).alias("row_a"), F.max("votes").alias("votes"))
-    aligned = best.where("votes >= 2").select("file_id", "row_a", "row_b")
+    on = ["file_id", "name", "value"]
+    votes = telling.join(a, on).join(b, on).groupBy("file_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("votes"), F.count_if("sure").alias("sure"))
+    best = votes.groupBy("file_id", "row_b").agg(F.max(F.struct("votes", "sure", "row_a")).alias("m")).select("file_id", "row_b", "m.*")
+    fields = keen.groupBy("file_id").agg(F.count(F.lit(1)).alias("keen"))
+    # two fields must agree, or the only telling field by a value that both files hold once
+    aligned = best.join(fields, "file_id").where("votes >= 2 or keen = 1 and sure = 1").select("file_id", "row_a", "row_b")
     met = (aligned.join(told.where("side = 0").select("file_id", F.col("row_key").alias("row_a"), F.col("odd").alias("xs")), ["file_id", "row_a"])
                   .join(told.where("side = 1").select("file_id", F.col("row_key").alias("row_b"), F.col("odd").alias("ys")), ["file_id", "row_b"]))
     each = F.flatten(F.transform("xs", lambda x, i: F.transform("ys", lambda y, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y")))))
@@ -145,7 +151,8 @@ def _scripts(agree: float):
                     fill = max(e["n_before"], e["n_after"])  # a renamed field is empty in the same records
                     if e["same"] < 2 and fill > 2:
                         return FORBIDDEN
-                    return 1.0 - e["same"] / e["both"] + 0.5 * (1.0 - e["both"] / fill)
+                    tie = 1e-3 * (x.type != y.type) + 1e-4 * (1.0 - trigram_similarity(x.name, y.name))  # between equal evidence
+                    return 1.0 - e["same"] / e["both"] + 0.5 * (1.0 - e["both"] / fill) + tie
 
                 tree = lambda h: Node("", "struct", tuple(Node(f["name"], f["type"]) for f in h))
                 for e in edit_script(tree(before), tree(after), rename)[1]:
@@ -160,7 +167,8 @@ def header_changes(files: DataFrame, rows: DataFrame, agree: float = 0.8) -> Dat
 
     file_id, change_kind (added, removed, renamed, retyped), name_before,
     name_after. ``agree``: least share of aligned records whose values must be equal
-    for a rename. Exact ties between renames go to the assignment of least cost.
+    for a rename. Between renames of equal evidence the one within a type and the more
+    similar name is taken.
     """
     heads = headers(files)
     chain = current_extracts(files).where(F.col("prev_id").isNotNull())

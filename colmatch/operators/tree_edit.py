@@ -1,11 +1,11 @@
 """Minimum-cost edit scripts between nested schemas.
 
 A schema is an unordered tree: a node has a name, a type and children (fields of
-a struct, the element of an array). ``edit_script`` finds the cheapest set of
-adds, deletes, renames, retypes and moves: at every level the children are matched
-by an assignment of least cost, where a matched pair costs its rename plus the
-distance below it, and an unmatched subtree costs its size. A deleted and an added
-subtree that are alike then become a move.
+a struct, the element of an array). A field that keeps its path keeps its identity.
+Of what is left, ``edit_script`` finds the cheapest set of adds, deletes, renames,
+retypes and moves: all lost subtrees are matched with all new ones by one assignment
+of least cost. A matched pair costs its rename within one parent, or its move (and
+rename) to another, plus the distance below it; an unmatched subtree costs its size.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 FORBIDDEN = 1e9
+RETYPE, MOVE = 0.1, 1.0
 _SEP = "\x1f"  # between the steps of a path while it is worked on; names may hold dots
 
 
@@ -83,50 +84,63 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def _distance(a: Node, b: Node, rename: Callable[[str, str, Node, Node], float], pa: str, pb: str) -> tuple[float, list[Edit]]:
-    cost, script = 0.0, []
+def _kept(a: Node, b: Node, pa: str, pb: str, lost: list, new: list, script: list[Edit]) -> float:
+    """The cost of retypes among fields that keep their path; what keeps none goes to ``lost`` and ``new``."""
+    cost = 0.0
     if a.type != b.type:
-        cost += 0.1
+        cost += RETYPE
         script.append(Edit("retyped", pa, pb))
-    left, right = list(a.children), list(b.children)
-    for x in list(left):  # a child that keeps its name keeps its identity
-        same = next((y for y in right if y.name == x.name), None)
-        if same is not None:
-            left.remove(x)
-            right.remove(same)
-            c, s = _distance(x, same, rename, _join(pa, x.name), _join(pb, same.name))
-            cost, script = cost + c, script + s
-    n, m = len(left), len(right)
+    left = {}
+    for y in b.children:
+        left.setdefault(y.name, []).append(y)
+    for x in a.children:
+        if left.get(x.name):
+            cost += _kept(x, left[x.name].pop(0), _join(pa, x.name), _join(pb, x.name), lost, new, script)
+        else:
+            lost.append((_join(pa, x.name), (pa, pb), x))
+    rest = {id(y) for ys in left.values() for y in ys}
+    new += [(_join(pb, y.name), (pa, pb), y) for y in b.children if id(y) in rest]
+    return cost
+
+
+def _distance(a: Node, b: Node, rename: Callable[[str, str, Node, Node], float], pa: str, pb: str) -> tuple[float, list[Edit]]:
+    script: list[Edit] = []
+    lost: list = []
+    new: list = []
+    cost = _kept(a, b, pa, pb, lost, new, script)
+    n, m = len(lost), len(new)
+    to, below = [m] * n, {}
     if n and m:
-        below = [[_distance(x, y, rename, _join(pa, x.name), _join(pb, y.name)) for y in right] for x in left]
-        grid = [[0.0] * (n + m) for _ in range(n + m)]
-        for i in range(n + m):
-            for j in range(n + m):
-                if i < n and j < m:
-                    r = rename(_join(pa, left[i].name), _join(pb, right[j].name), left[i], right[j])
-                    grid[i][j] = r if r >= FORBIDDEN else r + below[i][j][0]
-                elif i < n:
-                    grid[i][j] = left[i].size() if j - m == i else FORBIDDEN
-                elif j < m:
-                    grid[i][j] = right[j].size() if i - n == j else FORBIDDEN
-        to = assign(grid)
-    else:
-        to, grid, below = [], [], []
-    taken = set()
-    for i in range(n):
-        j = to[i] if to else m
-        if j < m and grid[i][j] < FORBIDDEN:
-            taken.add(j)
-            cost += grid[i][j]
-            script.append(Edit("renamed", _join(pa, left[i].name), _join(pb, right[j].name)))
-            script += below[i][j][1]
+        grid = [[FORBIDDEN] * (n + m) for _ in range(n + m)]
+        for i, (p, up, x) in enumerate(lost):
+            for j, (q, over, y) in enumerate(new):
+                own = 0.0 if x.name == y.name else rename(p, q, x, y)
+                if up != over:
+                    own += MOVE
+                if own < FORBIDDEN and own < x.size() + y.size():
+                    below[i, j] = _distance(x, y, rename, p, q)
+                    grid[i][j] = own + below[i, j][0]
+            grid[i][m + i] = x.size()
+        for j, (_, _, y) in enumerate(new):
+            grid[n + j][j] = y.size()
+        for i in range(n, n + m):
+            for j in range(m, n + m):
+                grid[i][j] = 0.0
+        to = assign(grid)[:n]
+    for i, (p, up, x) in enumerate(lost):
+        if (i, to[i]) in below:
+            q, over, y = new[to[i]]
+            cost += grid[i][to[i]]
+            script.append(Edit("renamed" if up == over else "moved", p, q))
+            script += below[i, to[i]][1]
         else:
-            cost += left[i].size()
-            script.append(Edit("removed", _join(pa, left[i].name), ""))
-    for j in range(m):
+            cost += x.size()
+            script.append(Edit("removed", p, ""))
+    taken = {j for i, j in enumerate(to) if (i, j) in below}
+    for j, (q, _, y) in enumerate(new):
         if j not in taken:
-            cost += right[j].size()
-            script.append(Edit("added", "", _join(pb, right[j].name)))
+            cost += y.size()
+            script.append(Edit("added", "", q))
     return cost, script
 
 
@@ -134,13 +148,6 @@ def _join(path: str, name: str) -> str:
     return f"{path}{_SEP}{name}" if path else name
 
 
-def _at(root: Node, path: str) -> Node:
-    node = root
-    for step in path.split(_SEP):
-        node = next(c for c in node.children if c.name == step)
-    return node
-
-
 def edit_script(before: Node, after: Node, rename: Callable[[str, str, Node, Node], float] | None = None) -> tuple[float, list[Edit]]:
     """(cost, script) that turns ``before`` into ``after``; names of roots don't matter.
 
@@ -150,14 +157,4 @@ def edit_script(before: Node, after: Node, rename: Callable[[str, str, Node, Nod
     """
     rename = rename or (lambda p, q, x, y: 1.5 if x.type == y.type else FORBIDDEN)
     cost, script = _distance(before, after, rename, "", "")
-    gone = [e for e in script if e.kind == "removed"]
-    for e in gone:
-        x = _at(before, e.before)
-        for f in script:
-            if f.kind == "added" and f.after.rpartition(_SEP)[0] != e.before.rpartition(_SEP)[0]:
-                y = _at(after, f.after)
-                if (x.name, x.type, x.children) == (y.name, y.type, y.children):
-                    script = [s for s in script if s is not e and s is not f] + [Edit("moved", e.before, f.after)]
-                    cost += 1 - 2 * x.size()
-                    break
     return cost, [Edit(e.kind, e.before.replace(_SEP, "."), e.after.replace(_SEP, ".")) for e in script]

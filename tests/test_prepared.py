@@ -116,3 +116,25 @@ def test_edit_scripts():
     t = T.StructType([T.StructField("x", T.ArrayType(T.StructType([T.StructField("y", T.LongType())])))])
     assert from_struct(t).children[0].children[0].children[0].name == "y"
     assert assign([[4, 1, 3], [2, 0, 5]]) == [1, 0]
+
+
+def test_moves_are_part_of_the_minimum():
+    from colmatch.operators.tree_edit import Node, edit_script
+
+    leaf = lambda n, t="int": Node(n, t)
+    before = Node("", "struct", (Node("a", "struct", (leaf("x"), leaf("y", "text"))), Node("b", "struct", (leaf("z"),))))
+    after = Node("", "struct", (Node("a", "struct", (leaf("y", "text"),)), Node("b", "struct", (leaf("z"), leaf("x", "long")))))
+    cost, script = edit_script(before, after)
+    assert cost == 1.1 and {(e.kind, e.before, e.after) for e in script} == {("moved", "a.x", "b.x"), ("retyped", "a.x", "b.x")}
+    # a rename in place costs less than the move of a like-named field and an addition
+    after = Node("", "struct", (Node("a", "struct", (leaf("w"), leaf("y", "text"))), Node("b", "struct", (leaf("z"),))))
+    assert edit_script(before, after)[0] == 1.5
+    assert edit_script(before, before) == (0.0, [])
+
+
+def test_one_telling_field_aligns(spark):
+    """Narrow headers: the key alone keeps its name, everything else is renamed."""
+    h = lambda *names: [(n, "text") for n in names]
+    files = spark.createDataFrame([(1, "s", 1, h("k", "a")), (2, "s", 2, h("k", "b"))], "file_id long, site string, extract_no int, declared_fields array<struct<name string, data_type string>>")
+    rows = spark.createDataFrame([(f, i, [f"id{i}", f"v{i % 4}"]) for f in (1, 2) for i in range(12)], "file_id long, row_no int, cells array<string>")
+    assert [tuple(r) for r in drift.header_changes(files, rows).collect()] == [(2, "renamed", "a", "b")]
