@@ -35,17 +35,22 @@ def test_top_n(spark, rows):
 
 
 def test_row_groups_are_skipped(spark, tmp_path):
-    import pyarrow.parquet as pq
-
-    df = spark.createDataFrame([("hot", f"i{k:06d}", k / 60_000) for k in range(60_000)], "g string, i string, s double")
-    topn.cluster_by_group(df.coalesce(1), ["g"], ["i"], "s", f"file://{tmp_path}/c", row_group_bytes=32 << 10)
-    reads = 0
-    for f in (tmp_path / "c").glob("*.parquet"):
-        pf = pq.ParquetFile(f)
-        order = topn.row_groups_to_read(pf, ["g"], "s")
-        assert [x[0] for x in order] == sorted((x[0] for x in order), reverse=True) and all(x[2] == ("hot",) for x in order)
-        reads += len(order)
-    assert reads > 4
+    """Of a large group over several files the first row groups are read, of the others all."""
+    rows = [("hot", f"i{k:06d}", (k * 7919 % 60_000) / 60_000) for k in range(60_000)] + [(f"g{k % 400}", f"i{k}", 0.5) for k in range(4000)] + [("few", "a", 0.1)]
+    df = spark.createDataFrame(rows, "g string, i string, s double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so little data is one file
+    topn.cluster_by_group(df, ["g"], ["i"], "s", f"file://{tmp_path}/c", row_group_bytes=32 << 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = spark.createDataFrame([(str(f"file://{f}"),) for f in (tmp_path / "c").glob("*.parquet")], "uri string").repartition(2)
+    index = topn.row_group_index(files, ["g"], "s", 5).collect()
+    hot = [r for r in index if r.g0 == "hot"]
+    assert len({r.uri for r in index}) > 1 and len(hot) > 10
+    assert sum(r.read for r in hot) <= 2 and all(r.read for r in index if r.g0 != "hot")
+    assert sum(r.n for r in index if not r.read) > 50_000
+    facts = [(0, 10, 0.5, 0.9, ("a",)), (1, 10, 0.1, 0.4, ("a",)), (2, 10, 0.0, 0.3, None), (3, 10, 0.5, 0.5, ("b",))]
+    assert [i for _, i, _ in topn.row_groups_to_read(facts, {("a",): 0.5, ("b",): 0.5})] == [0, 3, 2]
+    got = topn.top_n_per_group(df, ["g"], ["i"], "s", 5, row_group_bytes=32 << 10)
+    assert sorted((r.g, r.i) for r in got.collect()) == best(rows, 5)
 
 
 # --- 4: terms ---------------------------------------------------------------------------
