@@ -6,6 +6,8 @@ each language. Expectation-maximisation estimates the document's proportions of
 languages; a language stays in the document's set only if leaving it out costs
 more log-likelihood than the penalty. Sentences take the language of the highest
 posterior within the set, and successive sentences of one language are a stretch.
+A stretch's confidence is its language's probability under a temperature that is
+fitted to held-out sample sentences and their first words.
 
 Only the sample table is held by the driver; documents stay in their rows, whole.
 """
@@ -44,13 +46,14 @@ _BROKEN = re.compile("[Â-ô][\u0080-¿" + "".join(_CP1252) + "]+")
 _BREAKS = re.compile("\r\n|[\n\r  \x0b\x0c]")
 _ENDS = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|(?<=[。！？])\s*")
 _LINK = re.compile(r"\S*://\S+|\bwww\.\S+")
-_QUOTED = re.compile("\"[^\"]{0,200}\"|«[^»]{0,200}»|“[^”]{0,200}”|„[^“”]{0,200}[“”]|`[^`]{0,200}`|「[^」]{0,200}」")
+_QUOTED = re.compile("\"[^\"]*\"|«[^»]*»|“[^”]*”|„[^“”]*[“”]|`[^`]*`|「[^」]*」")
 _LATIN = "A-Za-zÀ-ɏ"
 # runs of Latin letters and digits with what may join them, or letters of another script
 _RUN = re.compile(rf"[{_LATIN}0-9_]+(?:[.\-'’][{_LATIN}0-9_]+)*|[Ͱ-῿Ⰰ-⿿々〆ぁ-ヺー-㆏ㆠ-퟿豈-﷿ﹰ-ﻼｦ-ￜ]+")
 _CAMEL = re.compile("[a-zß-ÿ].*[A-Z]")
 _MARKED = re.compile("[0-9_.]")
-_JUNK = re.compile(r"^\s*(?:[\[{<].*[\]}>]\s*|\|.*|.*\|\s*|\[\d+\].*|[-=*_#~\s]+|(?:[0-9a-f]{6,}\s*)+|[^;]*(?:;[^;\s]*){2,}|.*\t.*)$")
+_JUNK = re.compile(r"^\s*(?:[\[{<].*[\]}>]\s*|\|.*|.*\|\s*|\[\d+\].*|[-=*_#~\s]+|(?:[0-9a-f]{6,}\s*)+|[^;]*(?:;[^;\s]*){2,})$")
+_PROSE = re.compile(r"\S+(?:\s+\S+){3,}[.!?…][\"'»”)\]]*\s*|.{8,}[。！？]\s*")
 _CACHED_WORDS = 200_000
 _LETTERS = 8  # a sentence has two words and so many letters, or four characters of a script without spaces
 
@@ -84,6 +87,8 @@ def parsed(text: str | None) -> list[tuple[str, list[str]]]:
     lines = []
     for line in _BREAKS.split(clean(text)):
         bare = _LINK.sub(" ", line) if "www." in line or "://" in line else line
+        if "\t" in bare.strip():  # a row of cells, unless cells hold whole sentences
+            bare = " ".join(c.strip() for c in bare.split("\t") if _PROSE.fullmatch(c.strip()))
         if bare.strip() and not _JUNK.match(bare):
             lines.append(bare.strip())
         elif line.strip() and lines and lines[-1][-1:] not in ".!?…。！？":
@@ -101,8 +106,15 @@ def sentences(text: str | None) -> list[str]:
 
 
 def words(sentence: str) -> list[str]:
-    """The words of a sentence without names and labels, in lower case."""
-    bare = _QUOTED.sub(" ", sentence) if any(q in sentence for q in "\"«“„`「") else sentence
+    """The words of a sentence without names and labels, in lower case; a sentence that is all quotation keeps its words."""
+    if any(q in sentence for q in "\"«“„`「"):
+        out = _plain_words(_QUOTED.sub(" ", sentence))
+        if out:
+            return out
+    return _plain_words(sentence)
+
+
+def _plain_words(bare: str) -> list[str]:
     out = []
     for run in _RUN.findall(bare):
         if run.islower() or run.isupper() or not _CAMEL.search(run):
@@ -116,6 +128,7 @@ class Model:
 
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray], unseen: dict[int, np.ndarray], order: int):
         self.langs, self.grams, self.unseen, self.order = langs, grams, unseen, order
+        self.temper = (1.0, 0.0)
         self._cache: dict[str, np.ndarray] = {}
 
     @staticmethod
@@ -169,6 +182,45 @@ class Model:
     def sentence(self, s: str) -> np.ndarray:
         return self.score(words(s))
 
+    def confidence(self, loglik: np.ndarray, n_words: int) -> np.ndarray:
+        """How likely each language is, from the log-likelihoods of ``n_words`` words.
+
+        N-grams overlap and words of one text depend on each other, so evidence is
+        divided by a temperature that grows with the number of words.
+        """
+        scaled = loglik / (self.temper[0] * max(n_words, 1) ** self.temper[1])
+        p = np.exp(scaled - scaled.max())
+        return p / p.sum()
+
+    def calibrate(self, rows: list[tuple[str, str]], folds: int = 4) -> None:
+        """Fit the temperature to held-out sentences and their first words.
+
+        Models of the other folds score the first 1, 2, 4, ... words of each sentence;
+        base and exponent of the temperature are those of least log loss.
+        """
+        seen: list[tuple[int, np.ndarray, int]] = []
+        for fold in range(folds):
+            part = Model.train([r for i, r in enumerate(rows) if i % folds != fold], self.order)
+            for i, (lang, s) in enumerate(rows):
+                found = words(clean(s)) if i % folds == fold and lang in part.langs else []
+                n = 1
+                while found:
+                    seen.append((min(n, len(found)), part.score(found[:n]), part.langs.index(lang)))
+                    if n >= len(found):
+                        break
+                    n *= 2
+        if not seen:
+            return
+        n = np.array([x[0] for x in seen], dtype=float)
+        width = max(len(x[1]) for x in seen)
+        tilt = np.array([np.pad(x[1] - x[1][x[2]], (0, width - len(x[1])), constant_values=-np.inf) for x in seen])  # against the right language
+        best = np.inf
+        for base in np.geomspace(0.5, 8.0, 17):
+            for power in np.linspace(0.0, 1.0, 11):
+                loss = float(np.logaddexp.reduce(tilt / (base * n ** power)[:, None], axis=1).mean())
+                if loss < best:
+                    best, self.temper = loss, (float(base), float(power))
+
 
 def mixture(loglik: np.ndarray, penalty: float = 8.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """(proportions of languages, posteriors of sentences) of one document.
@@ -202,34 +254,34 @@ def mixture(loglik: np.ndarray, penalty: float = 8.0, rounds: int = 50) -> tuple
         live, best = [k for k in live if k != x], least
     pi, post = np.zeros(loglik.shape[1]), np.zeros(loglik.shape)
     pi[live], post[:, live] = best[1], best[2]
-    if len(live) == 1:  # how sure the one language is, against all others
-        tilt = loglik.sum(axis=0) - loglik.sum(axis=0).max()
-        pi[live] = float(1 / np.exp(tilt).sum())
-        own = np.exp(loglik - loglik.max(axis=1, keepdims=True))
-        post[:, live[0]] = (own / own.sum(axis=1, keepdims=True))[:, live[0]]
     return pi, post
 
 
 def stretches(model: Model, text: str | None, penalty: float = 8.0) -> list[tuple[str, float, int]]:
-    """(language, confidence, sentences) of each stretch of a text, in order."""
+    """(language, confidence, sentences) of each stretch of a text, in order.
+
+    The confidence is the tempered probability of the language on all words of the
+    stretch, see ``Model.confidence``.
+    """
     found = parsed(text)
     if not found:
         return []
     loglik = np.array([model.score(w) for _, w in found])
-    if (loglik.argmax(axis=1) == loglik[0].argmax()).all():  # one language leads throughout: nothing to weigh up
-        k = int(loglik[0].argmax())
-        tilt = loglik.sum(axis=0) - loglik[:, k].sum()
-        return [(model.langs[k], float(1 / np.exp(np.minimum(tilt, 700)).sum()), len(found))]
-    pi, post = mixture(loglik, penalty)
-    single = int((pi > 0).sum()) == 1
-    out: list[list] = []
-    for p in post:
-        k = int(np.argmax(p)) if not single else int(np.argmax(pi))
-        if out and out[-1][0] == k:
-            out[-1][1].append(p[k])
-        else:
-            out.append([k, [p[k]]])
-    return [(model.langs[k], float(pi[k]) if single else float(np.mean(c)), len(c)) for k, c in out]
+    first = loglik.argmax(axis=1)
+    if (first == first[0]).all():  # one language leads throughout: nothing to weigh up
+        of = first
+    else:
+        pi, post = mixture(loglik, penalty)
+        of = np.full(len(found), int(pi.argmax())) if int((pi > 0).sum()) == 1 else post.argmax(axis=1)
+    out: list[tuple[str, float, int]] = []
+    ends = [*(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+    begin = 0
+    for end in ends:
+        k = int(of[begin])
+        sure = model.confidence(loglik[begin:end].sum(axis=0), sum(len(w) for _, w in found[begin:end]))
+        out.append((model.langs[k], float(sure[k]), end - begin))
+        begin = end
+    return out
 
 
 def fit(df: DataFrame, samples: DataFrame, id_col: str, text: str, label: str, fit_documents: int = 4_000, fit_sentences: int = 60, margin: float = 5.0) -> Model:
@@ -245,6 +297,7 @@ def fit(df: DataFrame, samples: DataFrame, id_col: str, text: str, label: str, f
     if not seen or fit_documents <= 0:
         return Model.of_words(seen)
     first = Model.of_words(seen)
+    first.calibrate(seed)
     named = df.where(F.lower(F.trim(F.col(label))).isin([n for n, code in _BY_LABEL.items() if code in first.langs]))
     chosen = named.select(F.col(id_col).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(fit_documents)
     picked = df.join(F.broadcast(chosen), df[id_col] == F.col("__id"), "left_semi").select(F.col(text).alias("text"), F.col(label).alias("label"))
@@ -263,7 +316,9 @@ def fit(df: DataFrame, samples: DataFrame, id_col: str, text: str, label: str, f
 
     for r in spread(picked).mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         seen[r.lang, r.word] += r.n
-    return Model.of_words(seen)
+    fitted = Model.of_words(seen)
+    fitted.temper = first.temper
+    return fitted
 
 
 def identify(df: DataFrame, samples: DataFrame, id_col: str, text: str, label: str, penalty: float = 8.0, fit_documents: int = 4_000) -> DataFrame:

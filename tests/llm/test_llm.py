@@ -273,6 +273,32 @@ def test_held_out_sentences(samples):
     assert right >= 0.98 * len(rows)
 
 
+def test_confidence_is_a_hit_rate(samples):
+    """On sentences that neither the model nor its temperature has seen, cut to a few words."""
+    rows = [tuple(r) for r in samples.collect()]
+    random.Random(3).shuffle(rows)
+    told = []
+    for fold in range(2):
+        known = [r for i, r in enumerate(rows) if i % 2 != fold]
+        m = language.Model.train(known)
+        m.calibrate(known)
+        for i, (lang, s) in enumerate(rows):
+            found = language.words(language.clean(s))
+            for n in (1, 2, 3, 6, 100) if i % 2 == fold else ():
+                p = m.confidence(m.score(found[:n]), len(found[:n]))
+                told.append((float(p.max()), m.langs[int(p.argmax())] == lang))
+    for low, high in ((0.0, 0.6), (0.6, 0.9), (0.9, 1.01)):
+        part = [x for x in told if low <= x[0] < high]
+        assert len(part) > 50 and abs(sum(c for c, _ in part) - sum(h for _, h in part)) / len(part) < 0.1, (low, len(part))
+
+
+def test_layout():
+    prose = "Der Bericht wurde gestern an alle gesendet."
+    assert len(language.sentences(f"Menge\tPreis\tName\n3\t4,50\trot und blau\n1\t{prose}")) == 1
+    long = "the old ledger was closed and nobody had a look at it " * 8
+    assert language.words(f'Das Feld "{long}" ist neu') == ["das", "feld", "ist", "neu"] and len(language.words(f'"{long}"')) > 50
+
+
 def test_labels():
     assert [language.label_language(x) for x in ("EN", "deu", "pt-BR", "German", " français ", "xx", "", None, "multi")] == ["en", "de", "pt", "de", "fr", None, None, None, None]
 
