@@ -111,19 +111,18 @@ def value_evidence(pairs: DataFrame, rows: DataFrame, least_distinct: float = 0.
                  .dropDuplicates(["file_id", "side", "row_key"]))
     told = materialize(told, "cells")
     values = told.select("file_id", "side", "row_key", F.inline("kept"))
-    # values held once on one side at least can tell records apart, and meet in no more rows than there are
-    per = values.groupBy("file_id", "name", "value").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    # a value that both files hold once tells which record is which; repeated ones never meet
+    held = lambda side: F.count_if(F.col("side") == side).alias(f"n{side}")
+    row = lambda side, name: F.max(F.when(F.col("side") == side, F.col("row_key"))).alias(name)
+    per = values.groupBy("file_id", "name", "value").agg(held(0), held(1), row(0, "row_a"), row(1, "row_b"))
     keen = (per.groupBy("file_id", "name").agg(*(F.sum(f"n{i}").alias(f"s{i}") for i in (0, 1)), *(F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in (0, 1)))
                .where(" and ".join(f"d{i} > 0 and d{i} >= {least_distinct} * s{i}" for i in (0, 1))).select("file_id", "name"))
-    telling = per.where("n0 > 0 and n1 > 0 and least(n0, n1) = 1").join(keen, ["file_id", "name"]).select("file_id", "name", "value", (F.greatest("n0", "n1") == 1).alias("sure"))
-    a = values.where("side = 0").select("file_id", "name", "value", F.col("row_key").alias("row_a"))
-    b = values.where("side = 1").select("file_id", "name", "value", F.col("row_key").alias("row_b"))
-    on = ["file_id", "name", "value"]
-    votes = telling.join(a, on).join(b, on).groupBy("file_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("votes"), F.count_if("sure").alias("sure"))
-    best = votes.groupBy("file_id", "row_b").agg(F.max(F.struct("votes", "sure", "row_a")).alias("m")).select("file_id", "row_b", "m.*")
-    fields = keen.groupBy("file_id").agg(F.count(F.lit(1)).alias("keen"))
-    # two fields must agree, or the only telling field by a value that both files hold once
-    aligned = best.join(fields, "file_id").where("votes >= 2 or keen = 1 and sure = 1").select("file_id", "row_a", "row_b")
+    fields = keen.groupBy("file_id").agg(F.collect_set("name").alias("keen"))  # names of one header
+    votes = (per.where("n0 = 1 and n1 = 1").join(fields, "file_id").where("array_contains(keen, name)")
+                .groupBy("file_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("votes"), F.first(F.size("keen")).alias("keen")))
+    best = votes.groupBy("file_id", "row_b").agg(F.max(F.struct("votes", "row_a", "keen")).alias("m")).select("file_id", "row_b", "m.*")
+    # two fields must agree, if there are two that tell records apart
+    aligned = best.where("votes >= least(keen, 2)").select("file_id", "row_a", "row_b")
     met = (aligned.join(told.where("side = 0").select("file_id", F.col("row_key").alias("row_a"), F.col("odd").alias("xs")), ["file_id", "row_a"])
                   .join(told.where("side = 1").select("file_id", F.col("row_key").alias("row_b"), F.col("odd").alias("ys")), ["file_id", "row_b"]))
     each = F.flatten(F.transform("xs", lambda x, i: F.transform("ys", lambda y, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y")))))
