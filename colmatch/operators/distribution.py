@@ -2,8 +2,9 @@
 
 Values stay distributed: global ranks come from a range-partitioned sort, quantile
 boundaries from running counts, and the distances of all column pairs from one pass
-that counts each column's values between all boundaries. What the driver holds grows
-with the number of columns, never with their values.
+that counts each column's values between all boundaries. A column's counts are one
+row; its distances to all others are computed where it lies. The driver holds the
+boundaries and a number per column pair, never values or counts of cells.
 """
 
 from __future__ import annotations
@@ -101,14 +102,30 @@ def _cells(at: np.ndarray):
     return run
 
 
-def count_between(ranks: DataFrame, hist: dict[int, tuple[int, np.ndarray]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """All boundaries in order, and for each column how many of its ranks are at most each."""
-    at = np.unique(np.concatenate([np.append(b, m - 0.5) for m, b in hist.values()]))
-    rows = ranks.select("col_id", "rank", "n").mapInPandas(_cells(at), "col_id int, cell long, n long").groupBy("col_id", "cell").agg(F.sum("n").alias("n")).collect()
-    counts = {c: np.zeros(len(at) + 1) for c in hist}
-    for r in rows:
-        counts[r.col_id][r.cell] += r.n
-    return at, {c: np.cumsum(v)[:-1] for c, v in counts.items()}
+def count_between(ranks: DataFrame, at: np.ndarray) -> DataFrame:
+    """col_id, cells: for each column how many of its ranks lie between which boundaries."""
+    cells = ranks.select("col_id", "rank", "n").mapInPandas(_cells(at), "col_id int, cell long, n long").groupBy("col_id", "cell").agg(F.sum("n").alias("n"))
+    return materialize(cells.groupBy("col_id").agg(F.collect_list(F.struct("cell", "n")).alias("cells")), "cells")
+
+
+def _upto(cells, size: int) -> np.ndarray:
+    """How many ranks of a column are at most each boundary."""
+    counts = np.zeros(size + 1)
+    for x in cells:
+        counts[x["cell"]] += x["n"]
+    return np.cumsum(counts)[:-1]
+
+
+def _distances(at: np.ndarray, hist: dict[int, tuple[int, np.ndarray]], own: dict[int, np.ndarray]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for b, cells in zip(batch["col_id"], batch["cells"]):
+                upto = _upto(cells, len(at))
+                out += [(a, int(b), emd(own[a], _mass(hist[a], at, upto))) for a in hist if a != b]
+            yield pd.DataFrame(out, columns=["a", "b", "d"])
+
+    return run
 
 
 def emd(reference: np.ndarray, other: np.ndarray) -> float:
@@ -232,13 +249,13 @@ def distances(ranks: DataFrame, q: int) -> tuple[list[int], dict[int, tuple[int,
     cols = sorted(hist)
     if len(cols) < 2:
         return cols, hist, np.zeros((len(cols), len(cols)))
-    at, upto = count_between(ranks, hist)
-    d = np.full((len(cols), len(cols)), np.inf)
-    for i, a in enumerate(cols):
-        ref = _mass(hist[a], at, upto[a])
-        for j, b in enumerate(cols):
-            if i != j:
-                d[i, j] = emd(ref, _mass(hist[a], at, upto[b]))
+    at = np.unique(np.concatenate([np.append(b, m - 0.5) for m, b in hist.values()]))
+    counted = count_between(ranks, at)
+    own = _own_mass(ranks, cols, hist)
+    place, d = {c: i for i, c in enumerate(cols)}, np.full((len(cols), len(cols)), np.inf)
+    spread_out = counted.repartition(min(len(cols), 4 * counted.sparkSession.sparkContext.defaultParallelism))
+    for r in spread_out.mapInPandas(_distances(at, hist, own), "a int, b int, d double").collect():
+        d[place[r.a], place[r.b]] = r.d
     return cols, hist, d
 
 

@@ -93,16 +93,19 @@ Metric = Callable[[DataFrame, DataFrame], float]
 
 # Named sets; those that ask for a selection get the one-to-one part of the matches.
 PRECISION_RECALL: dict[str, Metric] = {"Precision": precision, "Recall": recall}
-ON_SELECTION: dict[str, Metric] = {**PRECISION_RECALL, "F1Score": f1, **{f"PrecisionTop{n}Percent": (lambda m, t, n=n: precision_top_n_percent(m, t, n)) for n in (10, 30, 50, 70, 90)}}
+ON_SELECTION: dict[str, Metric] = {**PRECISION_RECALL, "F1Score": f1, **{f"PrecisionTop{n}Percent": (lambda m, t, n=n: precision_top_n_percent(m, t, n)) for n in range(10, 101, 10)}}
 ON_ALL: dict[str, Metric] = {"RecallAtSizeofGroundTruth": recall_at_size_of_truth, "MeanReciprocalRank": mean_reciprocal_rank}
 
+CORE: list[str] = ["Precision", "Recall", "F1Score", "PrecisionTop10Percent", *ON_ALL]
+INCREASING_N: list[str] = [f"PrecisionTop{n}Percent" for n in range(10, 101, 10)]
+
 
 def get_metrics(matches: DataFrame, truth: DataFrame, names: list[str] | None = None, how: str = "hungarian", extra: dict[str, Metric] | None = None) -> dict[str, float]:
     """Measures by name; the selection is made once for all that need it. A name twice is an error."""
     clash = set(extra or {}) & {*ON_SELECTION, *ON_ALL}
     if clash:
         raise InvalidConfig(f"metric {sorted(clash)[0]} is there twice")
-    wanted = names or [*ON_SELECTION, *ON_ALL, *(extra or {})]
+    wanted = names or [*PRECISION_RECALL, "F1Score", *(f"PrecisionTop{n}Percent" for n in (10, 30, 50, 70, 90)), *ON_ALL, *(extra or {})]
     unknown = [n for n in wanted if n not in ON_SELECTION and n not in ON_ALL and n not in (extra or {})]
     if unknown:
         raise InvalidConfig(f"metric {unknown[0]}")

@@ -2,7 +2,7 @@
 
 Lineage is cut by writing to the folder named in ``spark.checkpoint.dir`` (set
 by the cluster); executors may be lost at any time and the files stay readable.
-Only where that setting is absent, as in tests, a temporary folder is made.
+Only on a local master without that setting, as in tests, a temporary folder is made.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colmatch.functions.types import InvalidConfig
+
 _own: dict[str, str] = {}
 
 
@@ -43,6 +45,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise InvalidConfig("spark.checkpoint.dir must name a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="colmatch-")

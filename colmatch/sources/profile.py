@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colmatch.functions.types import InvalidInput, MatchOptions, logical_type
+from colmatch.functions.types import DTYPES, InvalidInput, MatchOptions, logical_type
+from colmatch.plans.ranking import global_rank
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,7 @@ def sample_evenly(df: DataFrame, group: str, order: str, limit: int | None) -> D
     """Of each group's L rows, in ``order``, those at places floor(k L / limit) for k < limit.
 
     None keeps all rows and 0 none; a group with at most ``limit`` rows stays whole.
-    Ranks come from a window, counts from an aggregate that is joined back.
+    Places come from one range-partitioned sort, so a column is no task of its own.
     """
     if limit is None:
         return df
@@ -143,8 +144,9 @@ def sample_evenly(df: DataFrame, group: str, order: str, limit: int | None) -> D
         raise InvalidInput("a sample size must not be negative")
     if limit == 0:
         return df.limit(0)
-    lengths = df.groupBy(group).agg(F.count(F.lit(1)).alias("__l"))
-    ranked = df.withColumn("__i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).join(lengths, group)
+    placed = global_rank(df, [F.col(group), F.col(order)], "__r")
+    begin = placed.groupBy(group).agg(F.min("__r").alias("__s"), F.count(F.lit(1)).alias("__l"))  # a row per group
+    ranked = placed.join(begin, group).withColumn("__i", F.col("__r") - F.col("__s"))
     k = F.expr(f"CAST((CAST(__i AS DECIMAL(38,0)) * {limit} + __l - 1) div __l AS BIGINT)")  # the only k that can lead here
     place = F.expr(f"CAST((CAST(__k AS DECIMAL(38,0)) * __l) div {limit} AS BIGINT)")
     kept = ranked.withColumn("__k", k).where((F.col("__l") <= limit) | ((F.col("__k") < limit) & (place == F.col("__i"))))
@@ -171,9 +173,25 @@ def with_inferred_types(p: Profile) -> Profile:
     return Profile(tuple(ColumnInfo(c.col_id, c.table_no, c.table, c.column, c.ordinal, found.get(c.col_id, "unknown")) for c in p.columns), p.counts)
 
 
-def to_json(p: Profile) -> str:
-    """The columns as JSON; values stay where they are."""
-    return json.dumps([{"table": c.table, "name": c.column, "data_type": c.dtype, "ordinal": c.ordinal} for c in p.columns])
+def to_json(p: Profile, samples: int = 0) -> str:
+    """The columns as JSON, each with its ``samples`` first distinct values by bytes; others stay where they are."""
+    held: dict[int, list[str]] = {}
+    if samples:
+        first = p.counts.withColumn("r", F.row_number().over(Window.partitionBy("col_id").orderBy("value"))).where(F.col("r") <= samples)
+        for r in first.orderBy("col_id", "value").collect():
+            held.setdefault(r.col_id, []).append(r.value)
+    return json.dumps([{"table": c.table, "name": c.column, "data_type": c.dtype, "ordinal": c.ordinal, "samples": held.get(c.col_id, [])} for c in p.columns])
+
+
+def from_json(spark: SparkSession, text: str) -> Profile:
+    """The profile that ``to_json`` wrote; missing samples are none, unknown types an error."""
+    tables: dict[str, list[tuple[str, str, list[str]]]] = {}
+    for c in sorted(json.loads(text), key=lambda c: c["ordinal"]):
+        if c["data_type"] not in DTYPES:
+            raise InvalidInput(f"column {c['name']}: unknown type {c['data_type']}")
+        tables.setdefault(c["table"], []).append((c["name"], c["data_type"], c.get("samples", [])))
+    order = list(dict.fromkeys(c["table"] for c in json.loads(text)))
+    return from_fields(spark, [(t, tables[t]) for t in order])
 
 
 def sampled_profile(p: Profile, tables: list[tuple[str, DataFrame]], options: MatchOptions, order: str | None = None) -> Profile:

@@ -139,7 +139,8 @@ def test_cupid():
     assert one[0][2]["wsim"] == pytest.approx(0.8 + 0.2 * 0.5 * 0.9 ** 4)
     three = cupid.score_pair([("name", "text")], [("name", "text"), ("beta", "text"), ("gamma", "text")], lex)
     assert three[0][2]["wsim"] == pytest.approx(0.9)
-    assert cupid.normalized("HelloWorld, 123 and hello") == [("hello", 3), ("world", 3), (",", 0), ("123", 1), ("and", 2), ("hello", 3)]
+    assert cupid.normalized("HelloWorld, 123 and hello") == {"symbol": [","], "number": ["123"], "stop": ["and"], "content": ["hello", "world", "hello"]}
+    assert cupid.normalized("XMLHttpRequest_ID2")["content"] == ["xml", "http", "request", "id2"] and cupid.normalized("") == {k: [] for k in ("symbol", "number", "stop", "content")}
     assert lex.similarity("zxqabc", "zxqabd") == pytest.approx(5 / 6)
     small = lexicon.from_rows([("thing", 0, []), ("vehicle", 1, [0]), ("car", 2, [1]), ("automobile", 2, [1]), ("bike", 3, [1])])
     assert small.similarity("car", "automobile") == 1.0 and small.similarity("car", "bike") == pytest.approx(4 / 6)
