@@ -204,20 +204,47 @@ def unified_names(files: DataFrame, changes: DataFrame) -> DataFrame:
             return now.select("file_id", "pos", "name", "type", "unified")
 
 
-def unify(files: DataFrame, rows: DataFrame, changes: DataFrame | None = None, max_fields: int = 2_000) -> DataFrame:
+# What a column of each type becomes.
+CASTS = {"integer": "bigint", "decimal": "decimal(38,10)", "float": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp"}
+
+
+def common_type(kinds: set[str]) -> str:
+    """The narrowest type that holds all values of the declared ones; text where there is none."""
+    numbers: set[str] = set()
+    for wider in ("integer", "decimal", "float"):
+        numbers.add(wider)
+        if kinds <= numbers:
+            return wider
+    if kinds <= {"date", "timestamp"}:
+        return "date" if kinds == {"date"} else "timestamp"
+    return "boolean" if kinds == {"boolean"} else "text"
+
+
+def unify(files: DataFrame, rows: DataFrame, changes: DataFrame | None = None, max_fields: int = 2_000, typed: bool = False) -> DataFrame:
     """All rows in one table: file_id, row_no and a column per unified field, in plain writing.
 
-    The projection of a file is its list of (place, unified name), joined on file_id;
-    no row is compared with another. ``max_fields`` bounds the merged header that the
-    driver holds; more is an error.
+    The projection of a file is its list of (place, unified name, type), compiled from
+    its site's scripts and joined on file_id; no row is compared with another. With
+    ``typed`` a column has the common type of all files' declarations; a value that
+    isn't of this type is kept as text in the map ``unconverted``, by column.
+    ``max_fields`` bounds the merged header that the driver holds; more is an error.
     """
     names = unified_names(files, header_changes(files, rows) if changes is None else changes)
-    merged = sorted(r.unified for r in names.select("unified").distinct().limit(max_fields + 1).collect())
-    if len(merged) > max_fields:
+    held = names.groupBy("unified").agg(F.collect_set("type").alias("types")).limit(max_fields + 1).collect()
+    if len(held) > max_fields:
         raise ValueError(f"merged header: more than {max_fields} fields")
+    merged = {r.unified: common_type(set(r.types)) for r in sorted(held)}
     plan = (names.groupBy("file_id", "unified").agg(F.min(F.struct("pos", "type")).alias("p"))
                  .groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("unified", "p"))).alias("plan")))
     value = lambda e: plain_value(F.get("cells", e["value"]["pos"]), e["value"]["type"])
     named = (rows.select("file_id", "row_no", "cells").join(plan, "file_id")
                  .select("file_id", "row_no", F.map_from_entries(F.transform(F.map_entries("plan"), lambda e: F.struct(e["key"], value(e)))).alias("named")))
-    return named.select("file_id", "row_no", *(F.col("named")[F.lit(n)].alias(n or "unnamed") for n in merged))
+    text = {n: F.col("named")[F.lit(n)] for n in merged}
+    if not typed:
+        return named.select("file_id", "row_no", *(v.alias(n or "unnamed") for n, v in text.items()))
+    cast = {n: text[n].try_cast(CASTS[t]) if t != "decimal" else F.when(~text[n].rlike(r"[.][0-9]{11}"), text[n].try_cast(CASTS[t])) for n, t in merged.items() if t in CASTS}
+    odd = F.map_filter(F.create_map(*(x for n in cast for x in (F.lit(n), F.when(cast[n].isNull(), F.nullif(text[n], F.lit("")))))) if cast else F.create_map().cast("map<string,string>"), lambda k, v: v.isNotNull())
+    extra = "unconverted"
+    while extra in merged:
+        extra += "_"
+    return named.select("file_id", "row_no", *(cast.get(n, v).alias(n or "unnamed") for n, v in text.items()), odd.alias(extra))

@@ -51,8 +51,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All visit rows in one table."""
-    return drift.unify(table(spark, sf_dir, "visit_files"), table(spark, sf_dir, "visit_rows"))
+    """All visit rows in one table, each column of the common type of its declarations."""
+    t = drift.unify(table(spark, sf_dir, "visit_files"), table(spark, sf_dir, "visit_rows"), typed=True)
+    return t.withColumn("unconverted", F.to_json("unconverted"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_tables": p2_tables, "p2_schema": p2_schema, "p3_found": p3_found, "p3_unified": p3_unified}

@@ -14,12 +14,12 @@ from colmatch.functions import expressions as X
 from colmatch.functions import names as N
 from colmatch.plans.shared import table
 
-_BLANK = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != "") & (F.col("b") != "")
+_BOTH = "a <> '' AND b <> ''"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, b: the distinct pairs of column names of match_entries."""
-    return table(spark, sf_dir, "match_entries").select(F.col("source_column").alias("a"), F.col("target_column").alias("b")).where(_BLANK).distinct()
+    return table(spark, sf_dir, "match_entries").select(F.col("source_column").alias("a"), F.col("target_column").alias("b")).where(_BOTH).distinct()
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def _measure(f):
 
 def _scored(f):
     """A query of one Python measure on all pairs of names."""
-    measure = _measure(f)
-    return lambda spark, sf_dir: _pairs(spark, sf_dir).repartition(8).select("a", "b", F.round(measure("a", "b"), 9).alias("score"))
+    return lambda spark, sf_dir: _pairs(spark, sf_dir).select("a", "b", F.round(_measure(f)("a", "b"), 9).alias("score"))
 
 
 def _native(expr):

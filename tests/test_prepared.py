@@ -138,3 +138,13 @@ def test_one_telling_field_aligns(spark):
     files = spark.createDataFrame([(1, "s", 1, h("k", "a")), (2, "s", 2, h("k", "b"))], "file_id long, site string, extract_no int, declared_fields array<struct<name string, data_type string>>")
     rows = spark.createDataFrame([(f, i, [f"id{i}", f"v{i % 4}"]) for f in (1, 2) for i in range(12)], "file_id long, row_no int, cells array<string>")
     assert [tuple(r) for r in drift.header_changes(files, rows).collect()] == [(2, "renamed", "a", "b")]
+
+
+def test_unified_columns_have_types(spark):
+    assert drift.common_type({"integer", "decimal"}) == "decimal" and drift.common_type({"date", "timestamp"}) == "timestamp" and drift.common_type({"text", "date"}) == "text" == drift.common_type({"odd"})
+    files = spark.createDataFrame([(1, "s", 1, [("k", "int"), ("v", "numeric"), ("d", "date")]), (2, "s", 2, [("k", "bigint"), ("v", "int"), ("d", "datetime")])], "file_id long, site string, extract_no int, declared_fields array<struct<name string, data_type string>>")
+    rows = spark.createDataFrame([(1, 0, ["1", "2.50", "2020-01-02"]), (1, 1, ["x", None, ""]), (2, 0, ["3", "4", "2020-01-02 03:04:05"])], "file_id long, row_no int, cells array<string>")
+    t = drift.unify(files, rows, typed=True)
+    assert [str(f.dataType.simpleString()) for f in t.schema.fields] == ["bigint", "int", "timestamp", "bigint", "decimal(38,10)", "map<string,string>"]
+    got = {(r.file_id, r.row_no): (r.k, None if r.v is None else float(r.v), r.d is not None, r.unconverted) for r in t.collect()}
+    assert got == {(1, 0): (1, 2.5, True, {}), (1, 1): (None, None, False, {"k": "x"}), (2, 0): (3, 4.0, True, {})}
