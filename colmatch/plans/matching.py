@@ -381,6 +381,14 @@ _INSTANCES = """cos AS (SELECT a.v AS x, b.v AS y, least(sum(a.weight * b.weight
         inst AS (SELECT p.tab AS source_table, p.col AS source_column, q.tab AS target_table, q.col AS target_column, (f.s + g.s) / (p.o + q.o) AS score
                  FROM s f JOIN s g ON f.ca = g.cb AND f.cb = g.ca AND f.ta < f.tb JOIN occ p ON p.c = f.ca JOIN occ q ON q.c = f.cb)"""
 _TWO = {t: STAR[t] for t in ("customer", "supplier")}
+_SUGGEST = f"""{_fields_sql(_TWO)}, {_counts_sql(_TWO)}, cl AS (SELECT DISTINCT col, lower(trim(v)) AS v FROM vals WHERE trim(v) <> ''), sz AS (SELECT col, count(*) AS n FROM cl GROUP BY col),
+        sh AS (SELECT a.col AS a, b.col AS b, count(*) AS s FROM cl a JOIN cl b USING (v) GROUP BY ALL),
+        sc AS (SELECT x.col AS source, y.col AS target, {S.name_score_sql('x.col', 'y.col')} AS name_score,
+                 CASE WHEN x.kind = y.kind THEN 1.0 WHEN x.kind IN ('integer', 'float', 'decimal') AND y.kind IN ('integer', 'float', 'decimal') THEN 0.75 WHEN x.kind IN ('date', 'timestamp') AND y.kind IN ('date', 'timestamp') THEN 0.65 ELSE 0.0 END::DOUBLE AS type_score,
+                 CASE WHEN p.n < 2 OR q.n < 2 THEN 0.0 ELSE coalesce(s, 0)::DOUBLE / greatest(p.n, q.n) END AS sample
+               FROM fields x JOIN fields y ON x.tab = 'customer' AND y.tab = 'supplier' JOIN sz p ON p.col = x.col JOIN sz q ON q.col = y.col LEFT JOIN sh ON sh.a = x.col AND sh.b = y.col),
+        tp AS (SELECT *, max(sample) OVER (PARTITION BY source) AS top FROM sc), tm AS (SELECT *, count(*) FILTER (abs(sample - top) <= 1e-12) OVER (PARTITION BY source) AS many FROM tp),
+        cd AS (SELECT source, target, name_score, type_score, CASE WHEN top > 0 AND many > 1 AND abs(sample - top) <= 1e-12 THEN sample / 2 ELSE sample END AS sample FROM tm)"""
 _EDGES = f"""{_fields_sql(STAR)}, ft AS (SELECT t, tab, i, col, CASE kind WHEN 'integer' THEN 'int' WHEN 'float' THEN 'float' WHEN 'decimal' THEN 'float' WHEN 'date' THEN 'date' WHEN 'timestamp' THEN 'date' ELSE 'varchar' END AS k FROM fields),
         fn AS (SELECT *, i = min(i) OVER (PARTITION BY t, k) AS fresh FROM ft),
         fs AS (SELECT *, 3 + coalesce(sum(CASE WHEN i = 0 THEN 3 ELSE 2 END + CASE WHEN fresh AND i = 0 THEN 3 WHEN fresh THEN 2 ELSE 0 END)
@@ -426,14 +434,14 @@ SQL = {
     "coma_name": _coma_sql(STAR), "coma_combined": _coma_sql(TEXT, 2, 2.5),
     "flood_weights": f"""WITH {_EDGES}, pe AS (SELECT g_1, g_2, v1 AS from_1, v2 AS from_2, u1 AS to_1, u2 AS to_2, 2.0 / (i1 + i2) AS w, 0 AS prio FROM bo UNION ALL SELECT g_1, g_2, u1, u2, v1, v2, 2.0 / (o1 + o2), 1 FROM bo)
         SELECT g_1, g_2, from_1, from_2, to_1, to_2, arg_max(w, prio)::DOUBLE AS weight FROM pe GROUP BY ALL""",
-    "suggest_candidates": f"""WITH {_fields_sql(_TWO)}, {_counts_sql(_TWO)}, cl AS (SELECT DISTINCT col, lower(trim(v)) AS v FROM vals WHERE trim(v) <> ''), sz AS (SELECT col, count(*) AS n FROM cl GROUP BY col),
-        sh AS (SELECT a.col AS a, b.col AS b, count(*) AS s FROM cl a JOIN cl b USING (v) GROUP BY ALL),
-        sc AS (SELECT x.col AS source, y.col AS target, {S.name_score_sql('x.col', 'y.col')} AS name_score,
-                 CASE WHEN x.kind = y.kind THEN 1.0 WHEN x.kind IN ('integer', 'float', 'decimal') AND y.kind IN ('integer', 'float', 'decimal') THEN 0.75 WHEN x.kind IN ('date', 'timestamp') AND y.kind IN ('date', 'timestamp') THEN 0.65 ELSE 0.0 END::DOUBLE AS type_score,
-                 CASE WHEN p.n < 2 OR q.n < 2 THEN 0.0 ELSE coalesce(s, 0)::DOUBLE / greatest(p.n, q.n) END AS sample
-               FROM fields x JOIN fields y ON x.tab = 'customer' AND y.tab = 'supplier' JOIN sz p ON p.col = x.col JOIN sz q ON q.col = y.col LEFT JOIN sh ON sh.a = x.col AND sh.b = y.col),
-        tp AS (SELECT *, max(sample) OVER (PARTITION BY source) AS top FROM sc), tm AS (SELECT *, count(*) FILTER (abs(sample - top) <= 1e-12) OVER (PARTITION BY source) AS many FROM tp)
-        SELECT source, target, round(name_score, 9) AS name_score, type_score, round(CASE WHEN top > 0 AND many > 1 AND abs(sample - top) <= 1e-12 THEN sample / 2 ELSE sample END, 9) AS sample_score FROM tm""",
+    "suggest_candidates": f"""WITH {_SUGGEST}
+        SELECT source, target, round(name_score, 9) AS name_score, type_score, round(sample, 9) AS sample_score FROM cd""",
+    "suggest_decisions": f"""WITH RECURSIVE {_SUGGEST}, pr AS (SELECT source AS a, target AS b FROM cd), {S.abbreviation_score_sql('pr')},
+        tw AS (SELECT cd.*, k, CASE WHEN k = 1 THEN name_score ELSE greatest(name_score, score) END AS name, {S.bare_sql('source')} = {S.bare_sql('target')} AS exact FROM cd JOIN abb ON a = source AND b = target, range(1, 3) r(k)),
+        fu AS (SELECT *, CASE WHEN exact AND type_score >= 0.75 THEN greatest(0.6 * name + 0.25 * type_score + 0.15 * sample, 0.98) ELSE 0.6 * name + 0.25 * type_score + 0.15 * sample END AS full_score FROM tw),
+        bs AS (SELECT *, max(full_score) OVER (PARTITION BY k, source) AS best, row_number() OVER (PARTITION BY k, source ORDER BY full_score DESC, target) AS place FROM fu),
+        dc AS (SELECT k, source, any_value(best) AS best, arg_min(target, place) AS first, CASE WHEN any_value(best) < 0.72 THEN 'no_match' WHEN count(*) FILTER (full_score >= 0.72 AND best - full_score <= 0.05) > 1 THEN 'ambiguous' ELSE 'match' END AS decision FROM bs GROUP BY k, source)
+        SELECT source, decision, round(best, 9) AS best_score, CASE WHEN decision = 'match' THEN first END AS target FROM dc WHERE k = 1 AND decision <> 'no_match' OR k = 2 AND source IN (SELECT source FROM dc WHERE k = 1 AND decision = 'no_match')""",
     "greedy_select": f"""WITH RECURSIVE j AS ({_JACCARD}), r AS (SELECT *, row_number() OVER ({_RANK}) AS k, source_table || '.' || source_column AS s, target_table || '.' || target_column AS g FROM j WHERE score >= 0.3),
         w(k, ss, gs, took) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[] UNION ALL
           SELECT rk, CASE WHEN ok THEN list_append(ss, s) ELSE ss END, CASE WHEN ok THEN list_append(gs, g) ELSE gs END, CASE WHEN ok THEN list_append(took, rk) ELSE took END

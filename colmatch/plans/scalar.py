@@ -96,7 +96,7 @@ QUERIES = {f.__name__: f for f in (fn_normalize_name, fn_tokenize_name, fn_name_
 QUERIES |= {
     "fn_levenshtein": _native(X.levenshtein_similarity), "fn_hamming": _native(X.hamming_similarity), "fn_trigram": _native(X.trigram_similarity),
     "fn_damerau": _scored(N.damerau_similarity), "fn_jaro": _scored(N.jaro), "fn_jaro_winkler": _scored(N.jaro_winkler), "fn_name_score": _scored(N.name_score),
-    "fn_is_abbreviation": _scored(N.is_abbreviation), "fn_tokens_similarity": _scored(N.tokens_similarity), "fn_word_similarity": _scored(N.flooding_word_similarity), "fn_prefix_suffix": _scored(N.prefix_suffix),
+    "fn_abbreviation_score": _scored(N.abbreviation_score), "fn_is_abbreviation": _scored(N.is_abbreviation), "fn_tokens_similarity": _scored(N.tokens_similarity), "fn_word_similarity": _scored(N.flooding_word_similarity), "fn_prefix_suffix": _scored(N.prefix_suffix),
 }
 
 # --- SQL ---------------------------------------------------------------------------------------
@@ -157,6 +157,21 @@ def name_score_sql(a: str, b: str) -> str:
     return f"CASE WHEN {x} = {y} THEN 1.0 ELSE greatest(jaro_winkler_similarity({plain_sql(x, both)}, {plain_sql(y, both)}), {shared}) END"
 
 
+def abbreviation_score_sql(pairs: str) -> str:
+    """CTEs that end in abb(a, b, score) for the pairs of the relation ``pairs``; needs WITH RECURSIVE.
+
+    The best score of the shorter bare name as a subsequence of the longer: 16 a letter, 8 more for
+    the first place and for a run, less 3 for opening a gap and 1 for each further place of it.
+    """
+    here = ("CASE WHEN i = 0 THEN CASE WHEN j = 0 THEN 24 ELSE 16 END "
+            "ELSE greatest(best[j + 1] + 24, list_max(list_transform(range(0, j), lambda k: best[k + 1] - 3 - (j - 1 - k))) + 16) END")
+    return f"""ab0 AS (SELECT a, b, {bare_sql('a')} AS x, {bare_sql('b')} AS y FROM {pairs}),
+        ab1 AS (SELECT a, b, CASE WHEN length(x) < length(y) OR length(x) = length(y) AND x <= y THEN x ELSE y END AS x, CASE WHEN length(x) < length(y) OR length(x) = length(y) AND x <= y THEN y ELSE x END AS y FROM ab0),
+        abr(a, b, x, y, i, best) AS (SELECT a, b, x, y, 0, list_transform(range(0, length(y) + 1), lambda j: NULL::BIGINT) FROM ab1 UNION ALL
+          SELECT a, b, x, y, i + 1, list_prepend(NULL::BIGINT, list_transform(range(0, length(y)), lambda j: CASE WHEN substr(y, j + 1, 1) = substr(x, i + 1, 1) THEN {here} END)) FROM abr WHERE i < length(x)),
+        abb AS (SELECT a, b, CASE WHEN length(x) = 0 THEN 0.0 ELSE coalesce(least(1.0, greatest(0.0, list_max(best)::DOUBLE / (24 * length(x)))), 0.0) END AS score FROM abr WHERE i = length(x))"""
+
+
 def _word_sql(a: str, b: str) -> str:
     m = f"least(length({a}), length({b}))"
     head = f"len(list_filter(range(1, {m} + 1), lambda i: left({a}, i) = left({b}, i)))"
@@ -215,6 +230,7 @@ SQL = {
     "fn_is_abbreviation": _pair_sql(f"CASE WHEN {abbreviation_sql('a', 'b')} THEN 1.0 ELSE 0.0 END"), "fn_word_similarity": _pair_sql(_word_sql("a", "b")),
     "fn_trigram": f"WITH {_PAIRS}, {trigram_sql('pr')} SELECT a, b, round(score, 9) AS score FROM trisim",
     "fn_tokens_similarity": f"WITH RECURSIVE {_PAIRS}, {tokens_similarity_sql('pr')} SELECT a, b, round(score, 9) AS score FROM toksim",
+    "fn_abbreviation_score": f"WITH RECURSIVE {_PAIRS}, {abbreviation_score_sql('pr')} SELECT a, b, round(score, 9) AS score FROM abb",
     "fn_prefix_suffix": f"""WITH {_PAIRS}, w AS (SELECT a, b, {_WORDS_OR_NAME('a')} AS p, {_WORDS_OR_NAME('b')} AS q FROM pr)
         SELECT a, b, round(({_BEST('p', 'q')} + {_BEST('q', 'p')}) / (len(p) + len(q)), 9) AS score FROM w""",
 }
