@@ -125,6 +125,13 @@ def test_no_candidate_of_positive_evidence_is_missed(spark):
         assert len(want) > 1000 and want <= got and all(x < y for x, y in got)
 
 
+def test_a_table_listed_whole_on_both_sides(spark):
+    """80 columns of equal names, without samples: their keys are all frequent."""
+    schema = "id long, table_name string, name string, data_type string, samples array<string>"
+    side = spark.createDataFrame([(i, "big_zulo", f"{a} {b}", "text", None) for i, (a, b) in enumerate(itertools.islice(itertools.product(list(columns.SYNONYMS)[:8], columns.QUALIFIERS[:10]), 80))], schema)
+    assert {(r.left_id, r.right_id) for r in entities.match_columns(side, side).collect()} == {(i, i) for i in range(80)}
+
+
 def test_propagation_is_exact_on_trees(spark):
     theta = {(1, 1): 1.0, (1, 2): 0.5, (2, 2): 2.0, (3, 3): -1.0}
     got = {(r.l, r.r): r.belief for r in entities.propagate(spark.createDataFrame([(*k, v) for k, v in theta.items()], "l long, r long, theta double"), 60, 1e-9).collect()}
@@ -170,15 +177,15 @@ def test_set_join(spark):
     assert setjoin.similar_rows(df.limit(0), "id", "tab", "samples").count() == 0
 
 
-@pytest.mark.parametrize("num,den,least", [(1, 2, 1), (3, 5, 2), (1, 5, 1), (1, 1, 1)])
-def test_set_join_by_threshold(spark, num, den, least):
+@pytest.mark.parametrize("num,den,least,tuning", [
+    (1, 2, 1, {"rare": 2, "frequent": 2, "deep": 1, "block": 7}), (3, 5, 2, {"rare": 3, "frequent": 4, "deep": 4, "short": 3, "most": 200}),
+    (1, 5, 1, {"rare": 2, "frequent": 3, "deep": 2, "block": 9}), (1, 1, 1, {})])
+def test_set_join_by_threshold(spark, num, den, least, tuning):
     """Small sets of few, frequent tokens: one or two in common may be enough."""
     rng = random.Random(num * den)
     rows = [(i, f"t{i % 5}", [f"w{int(rng.random() ** 2 * 9)}" for _ in range(rng.randint(1, 12))]) for i in range(150)]
-    df = spark.createDataFrame(rows, SETS)
-    for tuning in ({"rare": 2, "frequent": 2, "deep": 1, "block": 7}, {"rare": 3, "frequent": 4, "deep": 4, "short": 3, "most": 200}):
-        got = sorted((r.a, r.b) for r in setjoin.similar_rows(df, "id", "tab", "samples", num, den, least, **tuning).collect())
-        assert got == similar(rows, num, den, least), tuning
+    got = sorted((r.a, r.b) for r in setjoin.similar_rows(spark.createDataFrame(rows, SETS), "id", "tab", "samples", num, den, least, **tuning).collect())
+    assert got == similar(rows, num, den, least)
 
 
 def test_set_join_on_one_or_two_frequent_tokens(spark):
