@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colmatch.functions import expressions as X
-from colmatch.functions.names import tokens_similarity, trigram_similarity
+from colmatch.functions.names import tokens_similarity
 from colmatch.functions.types import InvalidConfig
 from colmatch.plans.shared import materialize
 from colmatch.sources.profile import Profile
 
 
 @F.pandas_udf(T.DoubleType())
-def _name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([max(trigram_similarity(x, y), tokens_similarity(x, y)) for x, y in zip(a, b)], dtype="float64")
+def _tokens_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([tokens_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def name_scores(p: Profile) -> DataFrame:
     """a, b, name_score of all column pairs of different tables."""
     pairs = p.pairs()
-    return pairs.select(F.col("col_id_a").alias("a"), F.col("col_id_b").alias("b"), "table_no_a", "table_no_b", _name_similarity("column_a", "column_b").alias("name_score"))
+    return pairs.select(F.col("col_id_a").alias("a"), F.col("col_id_b").alias("b"), "table_no_a", "table_no_b", F.greatest(X.trigram_similarity(F.col("column_a"), F.col("column_b")), _tokens_similarity("column_a", "column_b")).alias("name_score"))
 
 
 def documents(p: Profile) -> DataFrame:

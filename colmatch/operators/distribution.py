@@ -55,8 +55,9 @@ def running_counts(df: DataFrame, group: str, order: str, n: str) -> DataFrame:
     placed = (df.repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("__p", F.spark_partition_id()))
     local = materialize(placed.withColumn("__s", F.sum(n).over(Window.partitionBy("__p", group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))), "running")
     per = local.groupBy(group, "__p").agg(F.sum(n).alias("__n"))
-    before = per.alias("x").join(per.alias("y"), (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col("y.__p") < F.col("x.__p")), "left").groupBy(F.col(f"x.{group}").alias(group), F.col("x.__p").alias("__p")).agg(F.coalesce(F.sum("y.__n"), F.lit(0)).alias("__b"))
-    return local.join(F.broadcast(before), [group, "__p"]).withColumn("upto", F.col("__s") + F.col("__b")).drop("__p", "__s", "__b")
+    earlier = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per group and partition that holds it
+    before = per.select(group, "__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__b"))
+    return local.join(before, [group, "__p"]).withColumn("upto", F.col("__s") + F.col("__b")).drop("__p", "__s", "__b")
 
 
 def quantiles(ranks: DataFrame, q: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colmatch.functions import expressions as X
 from colmatch.operators import coma, cupid, distribution, flooding, jaccard, metrics, results, suggest
 from colmatch.plans import scalar as S
-from colmatch.plans.shared import table
+from colmatch.plans.shared import materialize, table
 from colmatch.sources import profile
 
 STAR = {
@@ -215,7 +215,7 @@ def _assigned(method: str):
 
 
 def metrics_prf(spark, sf_dir):
-    m, t = jaccard_exact(spark, sf_dir).where("score >= 0.9").persist(), truth(spark)
+    m, t = materialize(jaccard_exact(spark, sf_dir).where("score >= 0.9"), "matches"), truth(spark)
     return spark.createDataFrame([(metrics.precision(m, t), metrics.recall(m, t), metrics.f1(m, t))], "precision double, recall double, f1 double")
 
 
