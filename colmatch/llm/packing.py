@@ -157,10 +157,10 @@ def _repack(turn: int):
     return run
 
 
-def pack(items: DataFrame, budgets: DataFrame, shard_items: int = 4_096, group_bins: int = 256, slack: float = 0.01) -> DataFrame:
+def pack(items: DataFrame, budgets: DataFrame, shard_items: int = 4_096, group_bins: int = 256, slack: float = 0.01, max_budgets: int = 1_000) -> DataFrame:
     """budget_id, container, id, piece, start, size, fill: every item in a container of each budget.
 
-    ``items``: id, size; ``budgets``: budget_id, capacity (a few rows, fixed). ``start``
+    ``items``: id, size; ``budgets``: budget_id, capacity (at most ``max_budgets``, else an error). ``start``
     is where a piece begins in its item, ``fill`` what its container holds. Items of
     null or no size take a place without space; capacities below 1 take nothing.
     ``shard_items`` and ``group_bins`` bound a task; a container counts as underfull
@@ -168,7 +168,12 @@ def pack(items: DataFrame, budgets: DataFrame, shard_items: int = 4_096, group_b
     that needs fewer containers.
     """
     size = F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0))
-    wanted = items.select(F.col("id").cast("long").alias("id"), size.alias("whole")).crossJoin(F.broadcast(budgets.select(F.col("budget_id").cast("int").alias("budget_id"), F.col("capacity").cast("long").alias("capacity")).where("capacity > 0")))
+    caps = budgets.select(F.col("budget_id").cast("int").alias("budget_id"), F.col("capacity").cast("long").alias("capacity")).where("capacity > 0")
+    held = caps.limit(max_budgets + 1).collect()
+    if len(held) > max_budgets:
+        raise ValueError(f"more than {max_budgets} budgets")
+    each = F.array(*(F.struct(F.lit(r.budget_id).cast("int").alias("budget_id"), F.lit(r.capacity).cast("long").alias("capacity")) for r in held)) if held else F.array().cast("array<struct<budget_id:int,capacity:bigint>>")
+    wanted = items.select(F.col("id").cast("long").alias("id"), size.alias("whole"), F.inline(each))
     wanted = wanted.withColumn("cuts", F.expr("CASE WHEN whole > capacity THEN whole div capacity ELSE 0 END"))
     full = (wanted.where("cuts > 0").select("*", F.posexplode(F.sequence(F.lit(1), F.col("cuts"))).alias("piece", "_n"))
             .select("budget_id", F.concat_ws("-", "budget_id", F.lit("c"), "id", "piece").alias("container"), "id", F.col("piece").cast("long").alias("piece"),
@@ -176,7 +181,7 @@ def pack(items: DataFrame, budgets: DataFrame, shard_items: int = 4_096, group_b
     rest = wanted.select("budget_id", "capacity", "id", F.col("cuts").alias("piece"), (F.col("cuts") * F.col("capacity")).alias("start"), (F.col("whole") - F.col("cuts") * F.col("capacity")).alias("size")).where("size > 0 or piece = 0")
     shards = max(1, -(-items.count() // shard_items))
     dealt = rest.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
-    caps = F.broadcast(budgets.select(F.col("budget_id").cast("int").alias("budget_id"), F.col("capacity").cast("long").alias("capacity")))
+    caps = F.broadcast(caps)
     placed = materialize(dealt.groupBy("budget_id", "shard").applyInPandas(_pack, PLACED), "packed")
     done = []
     turn, bins = 0, None
