@@ -50,13 +50,20 @@ def vectors(p: Profile) -> DataFrame:
 def instance_scores(p: Profile) -> DataFrame:
     """a, b, instance_score of column pairs whose values share a weighted token.
 
-    The cosine of two values is computed once, whatever number of columns holds them.
+    The cosine of two values is computed once, whatever number of columns holds them,
+    and only for values that different tables hold; a token of one table meets nobody.
     """
-    vec = materialize(vectors(p), "vectors")
-    x = vec.select(F.col("value").alias("x"), "token", F.col("weight").alias("wx"))
-    y = vec.select(F.col("value").alias("y"), "token", F.col("weight").alias("wy"))
-    cos = x.join(y, "token").groupBy("x", "y").agg(F.least(F.sum(F.col("wx") * F.col("wy")), F.lit(1.0)).alias("c"))
     tables = F.broadcast(p.table().select("col_id", "table_no"))
+    # the only table that holds a value, -1 if there are several: values of one table alone never meet
+    owner = (p.counts.join(tables, "col_id").groupBy("value").agg(F.min("table_no").alias("lo"), F.max("table_no").alias("hi"))
+              .select("value", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("tab")))
+    vec = materialize(vectors(p).join(owner, "value"), "vectors")
+    across = vec.groupBy("token").agg(F.min("tab").alias("lo"), F.max("tab").alias("hi")).where("lo <> hi or lo = -1").select("token")
+    met = vec.join(across, "token", "left_semi")
+    x = met.select(F.col("value").alias("x"), "token", F.col("weight").alias("wx"), F.col("tab").alias("tx"))
+    y = met.select(F.col("value").alias("y"), "token", F.col("weight").alias("wy"), F.col("tab").alias("ty"))
+    apart = (F.col("tx") != F.col("ty")) | (F.col("tx") == -1)
+    cos = x.join(y, "token").where(apart).groupBy("x", "y").agg(F.least(F.sum(F.col("wx") * F.col("wy")), F.lit(1.0)).alias("c"))
     has = documents(p).select("value")
     held = materialize(p.counts.join(has, "value").join(tables, "col_id"), "held")
     left = held.select(F.col("value").alias("x"), F.col("col_id").alias("c1"), F.col("table_no").alias("t1"), F.col("n").alias("n1"))
