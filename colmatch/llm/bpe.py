@@ -1,13 +1,15 @@
 """Byte-level BPE over the whole corpus with Spark's higher-order functions.
 
 Bytes are handled as strings of characters U+0000 to U+00FF (one per byte). The
-rank map is a literal: an array of small maps, found by CRC32 of the piece. A word
-is folded by merging the neighbours of lowest rank, one merge per step, while the
-ranks of the pairs are carried along so that a step looks up two pairs only.
+rank map is one row of a scalar subquery: an array of small maps, found by CRC32 of the
+piece. A word is folded by merging the neighbours of lowest rank, one merge per step, while
+the ranks of the pairs are carried along so that a step looks up two pairs only.
 
-The most frequent words of the corpus are folded once and become a second literal
+The most frequent words of the corpus are folded once and become a second such row
 of at most ``dictionary_words`` entries, a fixed bound, found by the hash of the word
-as it stands in the text. Every other word is turned into bytes and folded where it
+as it stands in the text. Tasks are sent both rows as they would be sent literals, but
+entries of a literal stand in the text of every plan, which the driver keeps of each
+query. Every other word is turned into bytes and folded where it
 stands, so no word is treated otherwise than another and no text leaves its row: the
 only shuffle is the count of words.
 """
@@ -19,16 +21,17 @@ import json
 import zlib
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmatch.plans.shared import spread
+from colmatch.plans.shared import materialize, spread
 
 # The split pattern of the vocabulary, with white space as Unicode has it.
 _W, _L, _N = r"\p{IsWhite_Space}", r"\p{L}", r"\p{N}"
 SPLIT = rf" ?{_L}++|'(?:[stmd]|re|ve|ll)| ?{_N}++| ?[^{_W}{_L}{_N}]++|{_W}+(?![^{_W}])|{_W}+"
 _NONE = 2_147_483_647
 _RANK_BUCKETS = 16_384
+_RANKS, _KNOWN = "__ranks", "__known"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -45,12 +48,18 @@ def load_ranks(path: str) -> dict[str, int]:
         return {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, f) if a}
 
 
-def _bucketed(entries: dict, buckets: int, kind: str) -> Column:
-    """A literal array of maps; the entry of key k is in the map at crc32(k) mod buckets."""
-    out: list[dict] = [{} for _ in range(buckets)]
-    for k, v in entries.items():
-        out[zlib.crc32(k.encode()) % buckets][k] = v
-    return F.from_json(F.lit(json.dumps(out)), f"array<map<string,{kind}>>")
+def _row(spark: SparkSession, maps: list[dict], kind: str) -> DataFrame:
+    """The maps as one array, in one row of the shared folder."""
+    text = spark.createDataFrame([(json.dumps(maps),)], "maps string")
+    return materialize(text.select(F.from_json("maps", f"array<map<string,{kind}>>").alias("maps")), "maps")
+
+
+def rank_row(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the ranks of the vocabulary; that of piece k is in the map at crc32(k) mod the number of maps."""
+    out: list[dict] = [{} for _ in range(_RANK_BUCKETS)]
+    for k, v in load_ranks(path).items():
+        out[zlib.crc32(k.encode()) % _RANK_BUCKETS][k] = v
+    return _row(spark, out, "int")
 
 
 def _find(maps: Column, buckets: int, key: Column) -> Column:
@@ -100,7 +109,7 @@ def _fold(word: Column, rank) -> Column:
     return _let(F.split(word, ""), run)
 
 
-def _ids_of(words: Column, path: str, known: Column | None = None, buckets: int = 0) -> Column:
+def _ids_of(words: Column, ranks: Column, known: Column | None = None, buckets: int = 0) -> Column:
     """array<array<int>>: the ids of each word. ``known``: ids by word, in ``buckets`` maps by hash."""
     def with_ranks(ranks: Column) -> Column:
         rank = lambda piece: _find(ranks, _RANK_BUCKETS, piece)
@@ -111,20 +120,20 @@ def _ids_of(words: Column, path: str, known: Column | None = None, buckets: int
         there = lambda maps: F.transform(words, lambda w: F.coalesce(F.try_element_at(F.get(maps, F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")), w), folded(w)))
         return _let(known, there)
 
-    return _let(_bucketed(load_ranks(path), _RANK_BUCKETS, "int"), with_ranks)
+    return _let(ranks, with_ranks)
 
 
-def frequent_words(df: DataFrame, text: str, path: str, dictionary_words: int) -> tuple[Column | None, int]:
-    """(literal maps from word to ids of the most frequent words, their number); at most ``dictionary_words`` words."""
+def frequent_words(df: DataFrame, text: str, ranks: DataFrame, dictionary_words: int) -> tuple[DataFrame | None, int]:
+    """(one row of maps from word to ids of the most frequent words, number of maps); at most ``dictionary_words`` words."""
     counted = (df.select(F.explode(split_words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                  .orderBy(F.desc("n"), "word").limit(dictionary_words))
     buckets = max(64, dictionary_words // 2)
-    coded = counted.select("word").repartition(df.sparkSession.sparkContext.defaultParallelism).select(
-        "word", F.get(_ids_of(F.array("word"), path), F.lit(0)).alias("ids"), F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("at"))
+    coded = counted.select("word").repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn(_RANKS, ranks.scalar()).select(
+        "word", F.get(_ids_of(F.array("word"), F.col(_RANKS)), F.lit(0)).alias("ids"), F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("at"))
     maps: list[dict] = [{} for _ in range(buckets)]
     for r in coded.collect():
         maps[r["at"]][r["word"]] = list(r["ids"])
-    return (F.from_json(F.lit(json.dumps(maps)), "array<map<string,array<int>>>") if any(maps) else None), buckets
+    return (_row(df.sparkSession, maps, "array<int>") if any(maps) else None), buckets
 
 
 def encode(df: DataFrame, text: str, path: str | None = None, ids: str = "ids", dictionary_words: int = 32_768) -> DataFrame:
@@ -134,10 +143,12 @@ def encode(df: DataFrame, text: str, path: str | None = None, ids: str = "ids",
     are ordinary text. A column named ``ids`` is replaced; others stay. Whole texts
     are encoded, however long.
     """
-    path = path or vocabulary_path()
     df = spread(df)
-    known = frequent_words(df, text, path, dictionary_words) if dictionary_words else (None, 0)
-    return df.withColumn(ids, F.flatten(_ids_of(split_words(F.col(text)), path, *known)))
+    ranks = rank_row(df.sparkSession, path or vocabulary_path())
+    known, buckets = frequent_words(df, text, ranks, dictionary_words) if dictionary_words else (None, 0)
+    held = {_RANKS: ranks.scalar()} | ({} if known is None else {_KNOWN: known.scalar()})  # a subquery may not stand in a higher-order function itself; the optimizer puts it there
+    coded = _ids_of(split_words(F.col(text)), F.col(_RANKS), None if known is None else F.col(_KNOWN), buckets)
+    return df.withColumns(held).withColumn(ids, F.flatten(coded)).drop(*held)
 
 
 def decode(df: DataFrame, ids: str, path: str | None = None, text: str = "decoded") -> DataFrame:

@@ -219,6 +219,14 @@ def test_bpe(spark):
     assert bpe.encode(df.limit(0), "text").count() == 0
 
 
+def test_bpe_dictionaries_are_not_in_plans(spark):
+    """The driver keeps the plan text of every query, so its memory would grow with each one."""
+    df = spark.createDataFrame([(i, f"hello w{i % 500} world") for i in range(1_000)], "doc_id long, text string")
+    out = bpe.encode(df, "text")
+    out.write.format("noop").mode("overwrite").save()
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+
+
 # --- 8: packing -----------------------------------------------------------------------------------
 
 
