@@ -10,8 +10,9 @@ merged schema and all tables are read.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,7 +93,16 @@ def explode_level(parent: DataFrame, elements: Column, pos: str, item: str) -> D
                   .withColumn(pos, F.col(pos).cast("long")))
 
 
-def _shapes(value) -> dict[tuple[str, str], int]:
+def _escaped(key: str) -> str:
+    """The key as a step of a path that is taken apart again; ordinary keys stay."""
+    return re.sub(r"[%.\[\]]", lambda m: f"%{ord(m[0]):02X}", key) or "%"
+
+
+def _unescaped(step: str) -> str:
+    return "" if step == "%" else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), step)
+
+
+def _shapes(value, step: Callable[[str], str] = str) -> dict[tuple[str, str], int]:
     """How often each (path, kind) is in a document."""
     seen: dict[tuple[str, str], int] = {}
     todo = [("$", value)]
@@ -102,7 +112,7 @@ def _shapes(value) -> dict[tuple[str, str], int]:
                 else "boolean" if isinstance(v, bool) else "number" if isinstance(v, _Number) else "string")
         seen[path, kind] = seen.get((path, kind), 0) + 1
         if kind == "object":
-            todo += [(f"{path}.{k}", x) for k, x in v.items()]
+            todo += [(f"{path}.{step(k)}", x) for k, x in v.items()]
         elif kind == "array":
             todo += [(f"{path}[]", x) for x in v]
     return seen
@@ -123,7 +133,7 @@ def _told(records_key: str | None):
                 try:
                     v = decode_strict(t)
                     v = v if records_key is None else _records(v, records_key)
-                    out.append((i, json.dumps(v, separators=(",", ":")), [f"{kind} {path}" for path, kind in _shapes(v)]))
+                    out.append((i, json.dumps(v, separators=(",", ":")), [f"{kind} {path}" for path, kind in _shapes(v, _escaped)]))
                 except (ValueError, TypeError, RecursionError):
                     continue
             yield pd.DataFrame({c: pd.Series([x[k] for x in out], dtype=object) for k, c in enumerate(("id", "doc", "shapes"))})
@@ -164,44 +174,71 @@ def infer_schema(df: DataFrame, text: str) -> DataFrame:
               .groupBy("path", "kind").agg(F.sum("n").alias("n")))
 
 
-def child_tables(df: DataFrame, id_col: str, text: str, max_paths: int = 10_000, records_key: str | None = None, only: list[str] | None = None) -> dict[str, DataFrame]:
+class _Tables(Mapping):
+    """Tables by path, each planned when it is first asked for: deep levels cost nothing to those who need others."""
+
+    def __init__(self, levels: list[str], make: Callable[[str], DataFrame]):
+        self._levels, self._make, self._made = levels, make, {}
+
+    def __getitem__(self, level: str) -> DataFrame:
+        if level not in self._made:
+            if level not in self._levels:
+                raise KeyError(level)
+            self._made[level] = self._make(level)
+        return self._made[level]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._levels)
+
+    def __len__(self) -> int:
+        return len(self._levels)
+
+
+def child_tables(df: DataFrame, id_col: str, text: str, max_paths: int = 10_000, records_key: str | None = None, only: list[str] | None = None, always: list[str] | None = None,
+                 element: str | None = None) -> Mapping[str, DataFrame]:
     """A table per array level of the merged schema, keyed by its path, and ``$`` for the root.
 
     Each has ``id_col``, ``row_key`` (surrogate key), ``parent_key`` (that of the
     row one level up; null at the root), ``ordinal`` (0-based place in the array),
     ``places`` (the ordinals from the top down to this row), ``is_object`` and the
     level's scalar fields as strings, named by their path below the level joined with
-    ``_``. A field named like a link column gets a trailing ``_``. An object in place
+    ``_``; scalar elements are the field ``value``. A field named like a link column or,
+    but for case, like another field gets a trailing ``_``. An object in place
     of an array is its only element; null elements give no row but keep their place.
-    Null documents, null ids' documents and damaged texts give no rows.
+    Null documents, null ids' documents and damaged texts give no rows. In paths the
+    characters ``%.[]`` of a key are percent-escaped; an empty key is ``%``.
 
     ``records_key``: see ``parsed_once``; the root is then the array of records.
+    ``always``: paths that are arrays whatever the records have. What is above them stays an
+    object where it is one: an array there makes a level of its own, which leaves their rows alone.
     ``only``: paths that are arrays, in place of all that the records have; what is
-    nested in other arrays is left out. ``max_paths`` bounds the merged schema that
-    the driver holds; more is an error.
+    nested in other arrays is left out. ``element``: a further column, the row's element as
+    VARIANT. ``max_paths`` bounds the merged schema that the driver holds; more is an error.
     """
     docs = parsed_once(df, id_col, text, records_key)
     rows = docs.select(F.explode("shapes").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).limit(max_paths + 1).collect()
     if len(rows) > max_paths:
         raise ValueError(f"merged schema: more than {max_paths} paths")
     found = [tuple(r.s.split(" ", 1)) for r in rows]
-    arrays = set(only) if only is not None else {path for kind, path in found if kind == "array"}
-    kinds: dict[str, set[str]] = {p: {"array"} for p in arrays} if only is not None else {}
+    arrays = set(only if only is not None else always or [])
+    above = {up for p in always or [] for up in _prefixes(p)} - arrays  # stay objects
 
     def merged(path: str) -> str:  # fields of an object in place of an array belong to its elements
         out = "$"
         for part in _parts(path):
-            if out in arrays and part != "[]":
+            if out in arrays and out not in above and part != "[]":
                 out += "[]"
             out += part if part == "[]" else f".{part}"
         return out
 
+    if only is None:  # where a path comes to lie depends on arrays of fewer names only
+        for path in sorted((p for kind, p in found if kind == "array"), key=lambda p: sum(x != "[]" for x in _parts(p))):
+            arrays.add(merged(path))
+    kinds: dict[str, set[str]] = {p: {"array"} for p in arrays}
     for kind, path in found:
         kinds.setdefault(merged(path), set()).add(kind)
-        if kind == "object" and path in arrays:
-            kinds.setdefault(merged(path) + "[]", set()).add("object")
-    levels = {"$", *(p + "[]" for p in kinds if p in arrays)}
-    links = {id_col, "row_key", "parent_key", "ordinal", "places", "is_object", "__item"}
+    levels = {"$", *(p + "[]" for p in arrays)}
+    links = {id_col, "row_key", "parent_key", "ordinal", "places", "is_object", "__item", *([element] if element else [])}
 
     def level_of(path: str) -> str:
         while path not in levels:
@@ -211,27 +248,41 @@ def child_tables(df: DataFrame, id_col: str, text: str, max_paths: int = 10_000,
     scalars: dict[str, list[str]] = {x: [] for x in levels}
     for p, k in kinds.items():
         rest = p[len(level_of(p)):]
-        if k & {"string", "number", "boolean"} and p not in levels and "[]" not in rest:
+        if k & {"string", "number", "boolean"} and "[]" not in rest:
             scalars[level_of(p)].append(rest)
     no_place = F.array().cast("array<bigint>")
     frames = {"$": docs.select(F.col("id").alias(id_col), F.col("id").cast("string").alias("row_key"), F.lit(None).cast("string").alias("parent_key"), F.lit(0).cast("long").alias("ordinal"), no_place.alias("places"), F.col("doc").alias("__item"))}
-    for level in sorted(levels - {"$"}, key=lambda x: (x.count("[]"), x)):
-        up = level_of(level[:-2])
-        rest = level[len(up):-2]
-        at = F.col("__item") if not rest else F.try_variant_get(F.col("__item"), _json_path(rest), "variant")
-        children = explode_level(frames[up].select(id_col, F.col("row_key").alias("parent_key"), "places", items(at).alias("__all")), F.col("__all"), "ordinal", "__e")
-        frames[level] = children.select(id_col, F.concat_ws("/", "parent_key", F.concat(F.lit(level + ":"), "ordinal")).alias("row_key"), "parent_key", "ordinal", F.array_append("places", F.col("ordinal")).alias("places"), F.col("__e").alias("__item"))
-    out = {}
-    for level, frame in frames.items():
-        cols, used = [], set(links)
+
+    def frame(level: str) -> DataFrame:
+        if level not in frames:
+            up = level_of(level[:-2])
+            at = _below(F.col("__item"), level[len(up):-2])
+            whole = F.try_variant_get(at, "$", "array<variant>") if level[:-2] in above else items(at)
+            children = explode_level(frame(up).select(id_col, F.col("row_key").alias("parent_key"), "places", whole.alias("__all")), F.col("__all"), "ordinal", "__e")
+            frames[level] = children.select(id_col, F.concat_ws("/", "parent_key", F.concat(F.lit(level + ":"), "ordinal")).alias("row_key"), "parent_key", "ordinal", F.array_append("places", F.col("ordinal")).alias("places"), F.col("__e").alias("__item"))
+        return frames[level]
+
+    def made(level: str) -> DataFrame:
+        item = F.col("__item")
+        cols, used = [item.alias(element)] if element else [], {x.lower() for x in links}
         for s in sorted(scalars[level]):
-            name = s.strip(".").replace(".", "_") or "value"
-            while name in used:
+            name = "_".join(map(_unescaped, _steps(s))).replace(".", "_") or "value"
+            while name.lower() in used:
                 name += "_"
-            used.add(name)
-            cols.append(F.try_variant_get(F.col("__item"), _json_path(s), "string").alias(name))
-        out[level] = frame.select(id_col, "row_key", "parent_key", "ordinal", "places", as_object(F.col("__item")).isNotNull().alias("is_object"), *cols)
-    return out
+            used.add(name.lower())
+            value = F.try_variant_get(_below(item, s), "$", "string")
+            cols.append((value if s else F.when(items(item).isNull(), value)).alias(name))
+        return frame(level).select(id_col, "row_key", "parent_key", "ordinal", "places", as_object(item).isNotNull().alias("is_object"), *cols)
+
+    return _Tables(sorted(levels, key=lambda x: (x.count("[]"), x)), made)
+
+
+def _prefixes(path: str) -> list[str]:
+    """The paths above ``path``, without the path itself."""
+    out = ["$"]
+    for part in _parts(path):
+        out.append(out[-1] + (part if part == "[]" else f".{part}"))
+    return out[:-1]
 
 
 def _parts(path: str) -> list[str]:
@@ -244,5 +295,18 @@ def _parts(path: str) -> list[str]:
     return out
 
 
-def _json_path(rest: str) -> str:
-    return "$" + "".join(f"['{x}']" for x in rest.split(".") if x)
+def _steps(rest: str) -> list[str]:
+    return [x for x in rest.split(".") if x]
+
+
+def _below(item: Column, rest: str) -> Column:
+    """What is at the path ``rest`` of objects in the variant, as VARIANT."""
+    path, out = "", item
+    for key in map(_unescaped, _steps(rest)):
+        if re.fullmatch(r"\w[^'?]*", key):
+            path += f"['{key}']"
+            continue
+        if path:  # a key that a path can't name
+            path, out = "", F.try_variant_get(out, "$" + path, "variant")
+        out = F.try_element_at(as_object(out), F.lit(key))
+    return F.try_variant_get(out, "$" + path, "variant") if path else out

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmatch.operators import drift, nested
@@ -18,10 +19,10 @@ LEVELS = [
 ]
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The events of all messages and their child tables."""
+def _tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    """The events of all messages and a child table per array level that any payload has; those of LEVELS always."""
     m = spread(table(spark, sf_dir, "raw_messages").select("message_id", "payload"))
-    return nested.child_tables(m, "message_id", "payload", records_key="events", only=["$", *(f"$[].{path}" for _, path, _ in LEVELS)])
+    return nested.child_tables(m, "message_id", "payload", records_key="events", always=["$", *(f"$[].{path}" for _, path, _ in LEVELS)], element="element")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +30,29 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, parts = _tables(spark, sf_dir), []
     for kind, path, field in LEVELS:
         rows = tables[f"$[].{path}[]"].where("is_object")
-        value = F.coalesce(field, F.lit("")) if field in rows.columns else F.lit("")
+        value = F.coalesce(F.try_variant_get("element", f"$.{field}", "string"), F.lit(""))
         parts.append(rows.select("message_id", F.get("places", F.lit(0)).alias("event_pos"), F.lit(kind).alias("kind"), F.col("ordinal").alias("item_pos"), value.alias("code_value")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _links(level: str, t: DataFrame) -> list[Column]:
+    return [F.lit(level).alias("level"), *(t[c] for c in ("message_id", "row_key", "parent_key", "ordinal", "is_object"))]
+
+
 def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links of all rows of the event table and its child tables."""
-    parts = [t.select(F.lit(path).alias("level"), "message_id", "row_key", "parent_key", "ordinal", "is_object") for path, t in _tables(spark, sf_dir).items() if path != "$"]
+    """The links of all rows of the event table and of the child tables that p2_found reads."""
+    tables = _tables(spark, sf_dir)
+    parts = [tables[x].select(_links(x, tables[x])) for x in ("$[]", *(f"$[].{path}[]" for _, path, _ in LEVELS))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and scalar fields (a JSON object of texts) of all rows of all array levels that the payloads have."""
+    parts = []
+    for level, t in _tables(spark, sf_dir).items():
+        if level != "$":
+            fields = [t[f"`{c.replace('`', '``')}`"] for c in t.columns if c not in ("message_id", "row_key", "parent_key", "ordinal", "places", "is_object", "element")]
+            parts.append(t.select(*_links(level, t), (F.to_json(F.struct(*fields)) if fields else F.lit("{}")).alias("fields")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -56,7 +72,7 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("unconverted", F.to_json("unconverted"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_tables": p2_tables, "p2_schema": p2_schema, "p3_found": p3_found, "p3_unified": p3_unified}
+QUERIES = {"p2_found": p2_found, "p2_tables": p2_tables, "p2_levels": p2_levels, "p2_schema": p2_schema, "p3_found": p3_found, "p3_unified": p3_unified}
 # payloads unwrapped and checked, then their events with places, then the objects and arrays of an event
 _EVENTS = """w0 AS (SELECT message_id, payload AS d FROM raw_messages WHERE json_valid(payload)),
         w1 AS (SELECT message_id, CASE WHEN json_type(d) = 'VARCHAR' THEN d ->> '$' ELSE d END AS d FROM w0), w2 AS (SELECT message_id, CASE WHEN json_valid(d) AND json_type(d) = 'VARCHAR' THEN d ->> '$' ELSE d END AS d FROM w1 WHERE json_valid(d)),

@@ -74,6 +74,59 @@ def test_child_tables_of_records(spark):
     assert [x[3] for x in got] == ["x", "1.50", None, None, None, '["1","2"]', "y"] and {x[4] for x in got} <= {r.row_key for r in t["$[]"].collect()}
 
 
+def test_every_array_level_has_a_table(spark, tmp_path):
+    """Arrays that p2_found doesn't read, some only below an object in place of an array or below odd keys, and all their scalars."""
+    one = event([{"partyCode": "A", "PartyCode": "no", "phones": [{"no": 1}, "x", None]}, {"partyCode": {"a": "b"}}], {"type": "D"})
+    one["equipmentDetails"] = {"seals": [{"number": "S1"}, {"number": "S2"}], "it's": {"a.b": [{"": "q", " z": "r"}]}}
+    payloads = [
+        json.dumps({"events": [one]}),
+        json.dumps({"events": [{"seals": {"by": ["k"]}}, {"seals": [{"n": True}]}]}),  # an array below an object in place of an array only
+        json.dumps({"events": [{"eventRouting": [{"originatingParties": [{"partyCode": "not of the event"}]}]}]}),
+        json.dumps({"events": [[{"deep": "d"}]]}),
+    ]
+    assert found(spark, tmp_path, payloads) == [(0, 0, "document", 0, "D"), (0, 0, "party", 0, "A"), (0, 0, "party", 1, '{"a":"b"}')]
+    rows = prepared.p2_levels(spark, str(tmp_path)).collect()
+    got = {(r.level, r.row_key): json.loads(r.fields) for r in rows}
+    assert len(got) == len(rows) and {r.parent_key for r in rows} <= {r.row_key for r in rows} | {str(i) for i in range(4)}
+    by, party = "$[].seals[].by[]", "$[].eventRouting.originatingParties[]"
+    want = {
+        ("$[]", "0/$[]:0"): {}, ("$[]", "1/$[]:0"): {}, ("$[]", "1/$[]:1"): {}, ("$[]", "2/$[]:0"): {}, ("$[]", "3/$[]:0"): {},
+        (party, f"0/$[]:0/{party}:0"): {"PartyCode": "no", "partyCode_": "A"}, (party, f"0/$[]:0/{party}:1"): {"partyCode_": '{"a":"b"}', "partyCode_a": "b"},
+        ("$[].shipmentDetails.documentReference[]", "0/$[]:0/$[].shipmentDetails.documentReference[]:0"): {"type": "D"},
+        (f"{party}.phones[]", f"0/$[]:0/{party}:0/{party}.phones[]:0"): {"no": "1"}, (f"{party}.phones[]", f"0/$[]:0/{party}:0/{party}.phones[]:1"): {"value": "x"},
+        **{("$[].equipmentDetails.seals[]", f"0/$[]:0/$[].equipmentDetails.seals[]:{i}"): {"number": f"S{i + 1}"} for i in (0, 1)},
+        ("$[].equipmentDetails.it's.a%2Eb[]", "0/$[]:0/$[].equipmentDetails.it's.a%2Eb[]:0"): {"value": "q", " z": "r"},
+        ("$[].seals[]", "1/$[]:0/$[].seals[]:0"): {}, ("$[].seals[]", "1/$[]:1/$[].seals[]:0"): {"n": "true"}, (by, f"1/$[]:0/$[].seals[]:0/{by}:0"): {"value": "k"},
+        ("$[].eventRouting[]", "2/$[]:0/$[].eventRouting[]:0"): {}, ("$[].eventRouting[].originatingParties[]", "2/$[]:0/$[].eventRouting[]:0/$[].eventRouting[].originatingParties[]:0"): {"partyCode": "not of the event"},
+        ("$[][]", "3/$[]:0/$[][]:0"): {"deep": "d"},
+    }
+    assert got == want
+
+
+def test_levels_of_all_messages(spark):
+    """Every scalar that a plain walk over the messages meets below an event is a field of some row."""
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    want: Counter = Counter()
+    for i, t in zip(*pq.read_table("/root/testdata/sf0.001/raw_messages.parquet", columns=["message_id", "payload"]).to_pydict().values()):
+        try:
+            todo = nested._records(nested.decode_strict(t), "events")
+        except ValueError:
+            continue
+        while todo:
+            v = todo.pop()
+            if isinstance(v, (dict, list)):
+                todo += v.values() if isinstance(v, dict) else v
+            elif v is not None:
+                want[i, str(v).lower() if isinstance(v, bool) else str(v)] += 1
+    got: Counter = Counter()
+    for r in prepared.p2_levels(spark, "/root/testdata/sf0.001").collect():
+        got.update((r.message_id, v) for v in json.loads(r.fields).values() if v[:1] not in ("{", "["))
+    assert got == want and len(want) > 1_000
+
+
 # --- drifting schemas -------------------------------------------------------------
 
 FILES = "file_id long, site string, extract_no int, arrived_at timestamp, declared_fields array<struct<name:string,data_type:string>>"
