@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colmatch.functions import expressions as X
+from colmatch.functions.batches import MEASURES, partnered
 from colmatch.functions.names import DISTANCES
 from colmatch.functions.types import InvalidConfig, WorkLimits, check_work
 from colmatch.plans.shared import materialize
@@ -91,7 +92,7 @@ def _first_partner(distance: str, cutoff: float):
     return run
 
 
-def matched_values(p: Profile, distance: str, threshold: float, block: int = 4096) -> DataFrame:
+def _matched_in_blocks(p: Profile, distance: str, threshold: float, block: int = 4096) -> DataFrame:
     """value, d: values of any column with a partner in column ``d`` of another table, at least as similar as the threshold.
 
     One partner is enough, so nothing of the size of all pairs is written: equal values
@@ -134,12 +135,100 @@ def matched_values(p: Profile, distance: str, threshold: float, block: int = 409
     return same.unionByName(found.distinct())
 
 
+def _partners(distance: str, cutoff: float, more: set[int]):
+    """Values of the left group with a partner among the right one's values of a column they ask for; without one too in the columns ``more``."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        xs, asked = left["value"].to_numpy(dtype=object), [np.asarray(ds, dtype=np.int64) for ds in left["ds"]]
+        who, ds = np.repeat(np.arange(len(xs)), [len(d) for d in asked]), np.concatenate([np.empty(0, dtype=np.int64), *asked])
+        ys = {d: y.to_numpy(dtype=object) for d, y in right.groupby("d")["y"]}
+        out = [pd.DataFrame({"value": xs[:0], "d": ds[:0], "found": np.empty(0, dtype=bool)})]
+        for d in np.unique(ds).tolist():
+            asking = xs[who[ds == d]]
+            found = partnered(distance, cutoff, asking, ys.get(d, xs[:0]))
+            told = found | (d in more)
+            out.append(pd.DataFrame({"value": asking[told], "d": d, "found": found[told]}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], groups: int, run) -> DataFrame:
+    """The groups of both sides brought together, a task for each as far as there are not too many.
+
+    Neither side is ever broadcast: their size is not that of the files they come from.
+    """
+    n = max(1, min(groups, 4_000))
+    return (left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys))
+                .applyInPandas(run, "value string, d int, found boolean"))
+
+
+def matched_values(p: Profile, distance: str, threshold: float, block: int = 4096) -> DataFrame:
+    """value, d: values of any column with a partner in column ``d`` of another table, at least as similar as the threshold.
+
+    One partner is enough, so nothing of the size of all pairs is written: equal values
+    need no comparison (columns of the same values are done at once). The rest meets one
+    block of about ``block`` values of each column, and what has no partner there all
+    other blocks of the column.
+    """
+    cutoff = X.float_cutoff(threshold)
+    info = {c.col_id: c.table_no for c in p.columns}
+    held = p.counts.select("col_id", "value")
+    sizes = {r.col_id: r.n for r in held.groupBy("col_id").agg(F.count(F.lit(1)).alias("n")).orderBy("col_id").collect()}  # a row per column
+    same = held.select("value", F.col("col_id").alias("d"))
+    if not sizes:
+        return same
+    blocks, bundle, room = {c: -(-n // block) for c, n in sizes.items()}, {}, 0
+    for c, n in sizes.items():  # columns that are met at once: up to 16 blocks
+        room += min(n, block)
+        bundle[c] = room // (16 * block)
+    bundles = max(bundle.values()) + 1
+    targets = F.array(*(F.struct(F.lit(c).alias("d"), F.lit(info[c]).alias("t"), F.lit(bundle[c]).alias("g")) for c in sizes))
+    numbers = _literal_map({c: info[c] for c in sizes})
+    owners = held.groupBy("value").agg(F.collect_list("col_id").alias("cols"))
+    owned = materialize(owners.withColumn("tabs", F.transform("cols", lambda c: numbers[c])), "values")
+    asked = owned.select("value", F.filter(targets, lambda x: ~F.array_contains("cols", x["d"]) & F.exists("tabs", lambda t: t != x["t"])).alias("x"))
+    if cutoff <= 0:
+        return same.unionByName(asked.select("value", F.explode("x.d").alias("d")))
+    cores, values = held.sparkSession.sparkContext.defaultParallelism, owned.count()
+    lefts = _chunks(values, block, cores)
+    left = (asked.select("value", "x", F.pmod(F.xxhash64("value"), F.lit(lefts)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("g"))
+                 .select("value", "i", "g", F.transform(F.filter("x", lambda x: x["g"] == F.col("g")), lambda x: x["d"]).alias("ds")).where(F.size("ds") > 0))
+    dealt = held.select(F.col("col_id").alias("d"), F.col("value").alias("y"), F.pmod(F.xxhash64("value"), _literal_map(blocks)[F.col("col_id")]).cast("int").alias("b"))
+    right = dealt.where("b = 0").select("d", "y", _literal_map(bundle)[F.col("d")].alias("g"), F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("i"))
+    met = materialize(_met(left, right, ["i", "g"], lefts * bundles, _partners(distance, cutoff, {c for c, n in blocks.items() if n > 1})), "met")
+    same = same.unionByName(met.where("found").select("value", "d"))
+    without = met.where("NOT found")
+    rest = {r.d: r.n for r in without.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per column
+    if not rest:
+        return same
+    chunks = {d: _chunks(n, block, cores) for d, n in rest.items()}
+    spans = {d: -(-(blocks[d] - 1) // 16) for d in rest}
+    left = without.select("value", "d", F.array("d").alias("ds"), F.pmod(F.xxhash64("value", F.lit(1)), _literal_map(chunks)[F.col("d")]).cast("int").alias("i"),
+                          F.explode(F.sequence(F.lit(0), _literal_map(spans)[F.col("d")] - 1)).alias("j"))
+    right = (dealt.where((F.col("b") > 0) & F.col("d").isin(list(rest)))
+                  .select("d", "y", F.floor((F.col("b") - 1) / 16).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), _literal_map(chunks)[F.col("d")] - 1)).alias("i")))
+    more = _met(left, right, ["d", "i", "j"], sum(chunks[d] * spans[d] for d in rest), _partners(distance, cutoff, set()))
+    return same.unionByName(more.select("value", "d").distinct())
+
+
+def _chunks(n: int, block: int, cores: int) -> int:
+    """Into how many parts n values are dealt: enough for all cores, none above a block."""
+    return max(1, -(-n // min(block, max(256, n // (4 * cores)))))
+
+
+def _literal_map(of: dict):
+    return F.create_map(*(F.lit(x) for pair in of.items() for x in pair))
+
+
 def fuzzy_scores(p: Profile, distance: str = "levenshtein", threshold: float = 0.8, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
     """a, b, score: a value counts as matched if any partner is similar enough, in both directions.
 
     Distinct values are compared once, whatever number of columns holds them.
     """
-    return _semi_scores(p, matched_values(p, distance, threshold), alpha, beta)
+    p = Profile(p.columns, materialize(p.counts, "counts"))  # read several times
+    matched = matched_values if distance in MEASURES else _matched_in_blocks
+    return _semi_scores(p, matched(p, distance, threshold), alpha, beta)
 
 
 def _semi_scores(p: Profile, matched: DataFrame, alpha: float, beta: float) -> DataFrame:
