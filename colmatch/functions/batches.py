@@ -32,7 +32,12 @@ def _levenshtein_similarity(a, n, b, m):
     return 1 - _levenshtein(a, n, b, m) / np.maximum(n, m)
 
 
-MEASURES = {"levenshtein": _levenshtein_similarity}
+def _hamming_similarity(a, n, b, m):
+    k = min(a.shape[1], b.shape[1])
+    return ((a[:, :k] == b[:, :k]) & (np.arange(k) < np.minimum(n, m)[:, None])).sum(axis=1) / np.maximum(n, m)
+
+
+MEASURES = {"levenshtein": _levenshtein_similarity, "hamming": _hamming_similarity}
 
 
 def _codes(texts: list[str]) -> np.ndarray:

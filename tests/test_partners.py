@@ -9,7 +9,7 @@ from colmatch.functions.names import DISTANCES
 from colmatch.operators import jaccard
 from colmatch.sources import profile
 
-BATCHED = ["levenshtein"]
+BATCHED = ["levenshtein", "hamming"]
 
 
 def texts(seed, n):
