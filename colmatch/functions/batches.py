@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from colmatch.functions.names import damerau_levenshtein
+
 _BUCKETS, _DEPTH = 64, 63
 _ROWS, _PAIRS, _CELLS = 1024, 65_536, 1_000_000
 
@@ -37,7 +39,41 @@ def _hamming_similarity(a, n, b, m):
     return ((a[:, :k] == b[:, :k]) & (np.arange(k) < np.minimum(n, m)[:, None])).sum(axis=1) / np.maximum(n, m)
 
 
-MEASURES = {"levenshtein": _levenshtein_similarity, "hamming": _hamming_similarity}
+def _firsts(codes: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The kept characters of each row, moved to its front in their order."""
+    return np.take_along_axis(codes, np.argsort(~kept, axis=1, kind="stable"), axis=1)
+
+
+def _jaro(a, n, b, m):
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)[:, None]
+    at, inside = np.arange(b.shape[1]), np.arange(b.shape[1]) < m[:, None]
+    free, taken, every = inside.copy(), np.zeros(a.shape, dtype=bool), np.arange(len(a))
+    for i in range(a.shape[1]):
+        fits = free & (b == a[:, i, None]) & (np.abs(at - i) <= reach)
+        first = fits.argmax(axis=1)
+        taken[:, i] = fits[every, first] & (i < n)
+        free[every[taken[:, i]], first[taken[:, i]]] = False
+    common = taken.sum(axis=1)
+    k = int(common.max(initial=0))
+    swaps = ((_firsts(a, taken)[:, :k] != _firsts(b, inside & ~free)[:, :k]) & (np.arange(k) < common[:, None])).sum(axis=1) // 2
+    return np.where(common > 0, (common / n + common / m + (common - swaps) / np.maximum(common, 1)) / 3, 0.0)
+
+
+def _jaro_winkler(a, n, b, m):
+    base, k = _jaro(a, n, b, m), min(4, a.shape[1], b.shape[1])
+    same = np.logical_and.accumulate((a[:, :k] == b[:, :k]) & (np.arange(k) < np.minimum(n, m)[:, None]), axis=1).sum(axis=1)
+    return np.where(base <= 0.7, base, np.minimum(1.0, base + 0.1 * same * (1 - base)))
+
+
+def _damerau_similarity(a, n, b, m):
+    """A transposition is two other edits, so pairs of distance 0 or 1 have the plain one; others are walked."""
+    far, of = _levenshtein(a, n, b, m), lambda codes, k: codes[:k].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    for i in np.flatnonzero(far > 1):
+        far[i] = damerau_levenshtein(of(a[i], n[i]), of(b[i], m[i]))
+    return 1 - far / np.maximum(n, m)
+
+
+MEASURES = {"levenshtein": _levenshtein_similarity, "hamming": _hamming_similarity, "damerau_levenshtein": _damerau_similarity, "jaro": _jaro, "jaro_winkler": _jaro_winkler}
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -61,6 +97,19 @@ def similarities(distance: str, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _near(distance: str, cutoff: float, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Which pairs are similar enough. A transposition is at most two plain edits, so plain distances decide most of Damerau's."""
+    if distance != "damerau_levenshtein":
+        return similarities(distance, xs, ys) >= cutoff
+    longest = np.maximum(_lengths(xs), _lengths(ys))
+    plain = similarities("levenshtein", xs, ys)
+    near = plain >= cutoff
+    edits = np.rint((1 - plain) * longest)
+    open_ = np.flatnonzero(~near & (1 - np.ceil(edits / 2) / longest >= cutoff))
+    near[open_] = similarities(distance, xs[open_], ys[open_]) >= cutoff
+    return near
+
+
 def _bags(texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """How often the characters of each bucket occur in each text."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4") % _BUCKETS
@@ -81,7 +130,10 @@ def _most_similar(distance: str, p: np.ndarray, n: np.ndarray, q: np.ndarray, m:
     if (top > deep).any():  # whatever a text has beyond, the other may have too
         common += np.maximum(p - _DEPTH, 0).sum(axis=1, dtype=np.float32)[:, None]
     n, m = n.astype(np.float32)[:, None], m.astype(np.float32)
-    return common / np.maximum(n, m)
+    if distance not in ("jaro", "jaro_winkler"):
+        return common / np.maximum(n, m)
+    jaro = np.where(common > 0, (common / n + common / m + 1) / 3, np.float32(0))
+    return jaro if distance == "jaro" else np.where(jaro > 0.7 - 1e-5, jaro + np.float32(0.4) * (1 - jaro), jaro)
 
 
 def _tried(distance: str, cutoff: float, xs: np.ndarray, ys: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -103,7 +155,7 @@ def _tried(distance: str, cutoff: float, xs: np.ndarray, ys: np.ndarray, most: n
             i, j = r[k:k + _PAIRS], c[k:k + _PAIRS]
             if k:
                 i, j = i[~got[i]], j[~got[i]]
-            got[i[similarities(distance, xs[i], ys[j]) >= cutoff]] = True
+            got[i[_near(distance, cutoff, xs[i], ys[j])]] = True
         most[r, c] = -1
         left = left[~got[left]]
     return got

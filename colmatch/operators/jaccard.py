@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colmatch.functions import expressions as X
-from colmatch.functions.batches import MEASURES, partnered
+from colmatch.functions.batches import partnered
 from colmatch.functions.names import DISTANCES
 from colmatch.functions.types import InvalidConfig, WorkLimits, check_work
 from colmatch.plans.shared import materialize
@@ -58,71 +58,6 @@ def exact_scores(p: Profile, alpha: float = 1.0, beta: float = 1.0) -> DataFrame
     return shared_values(p).join(x, "a").join(y, "b").select("a", "b", score.alias("score"))
 
 
-_BUCKETS = 64
-
-
-def _bag(text: str) -> np.ndarray:
-    """How often the characters of each bucket occur: two texts share no more than the smaller counts."""
-    return np.bincount(np.fromiter((ord(c) % _BUCKETS for c in text), dtype=np.int64, count=len(text)), minlength=_BUCKETS)
-
-
-def _most_similar(distance: str, common: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
-    """The most that ``distance`` can give texts of lengths n and m with so many characters in common."""
-    if distance == "damerau_levenshtein":
-        return common / np.maximum(n, m)
-    jaro = np.where(common > 0, (common / n + common / m + 1) / 3, 0.0)
-    return jaro if distance == "jaro" else np.where(jaro > 0.7, jaro + 0.4 * (1 - jaro), jaro)
-
-
-def _first_partner(distance: str, cutoff: float):
-    """Keeps the values of the left block that have a partner in the right one; the most promising is tried first."""
-    measure = DISTANCES[distance]
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[bool] = []
-        ys = right["y"].tolist()
-        if ys:
-            bags, lengths = np.array([_bag(y) for y in ys]), np.array([len(y) for y in ys])
-        for x in left["value"] if ys else []:
-            most = _most_similar(distance, np.minimum(bags, _bag(x)).sum(axis=1), len(x), lengths)
-            at = np.flatnonzero(most >= cutoff - 1e-9)
-            found.append(any(measure(x, ys[k]) >= cutoff for k in at[np.argsort(-most[at], kind="stable")]))
-        return left[found][["value", "d"]] if ys else left[["value", "d"]].iloc[:0]
-
-    return run
-
-
-def _matched_in_blocks(p: Profile, distance: str, threshold: float, block: int = 4096) -> DataFrame:
-    """value, d: values of any column with a partner in column ``d`` of another table, at least as similar as the threshold.
-
-    One partner is enough, so nothing of the size of all pairs is written: equal values
-    need no comparison (columns of the same values are done at once), and a value of
-    the rest stops at its first partner in a block of ``block`` values of a column.
-    Lengths and characters in common bound the similarity before it is computed.
-    """
-    cutoff = X.float_cutoff(threshold)
-    info = {c.col_id: c.table_no for c in p.columns}
-    held = materialize(p.counts.select("col_id", "value"), "held")
-    sizes = {r.col_id: r.n for r in held.groupBy("col_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per column
-    same = held.select("value", F.col("col_id").alias("d"))
-    if not sizes:
-        return same
-    targets = F.array(*(F.struct(F.lit(c).alias("d"), F.lit(info[c]).alias("t"), F.lit(-(-n // block)).alias("blocks")) for c, n in sorted(sizes.items())))
-    numbers = F.create_map(*(F.lit(x) for c in sizes for x in (c, info[c])))
-    owners = held.groupBy("value").agg(F.collect_list("col_id").alias("cols"))
-    owned = materialize(owners.withColumn("tabs", F.transform("cols", lambda c: numbers[c])), "values")
-    asked = owned.select("value", "cols", "tabs", F.explode(targets).alias("x")).where(
-        ~F.array_contains("cols", F.col("x.d")) & F.exists("tabs", lambda t: t != F.col("x.t")))
-    if cutoff <= 0:
-        return same.unionByName(asked.select("value", "x.d"))
-    lefts = max(1, -(-owned.count() // (4 * block)))
-    left = asked.select("value", "x.d", F.pmod(F.xxhash64("value"), F.lit(lefts)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)).alias("j"))
-    blocks = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))))
-    right = held.select(F.col("col_id").alias("d"), F.col("value").alias("y"), F.pmod(F.xxhash64("value"), blocks[F.col("col_id")]).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("i"))
-    found = left.groupBy("d", "i", "j").cogroup(right.groupBy("d", "i", "j")).applyInPandas(_first_partner(distance, cutoff), "value string, d int")
-    return same.unionByName(found.distinct())
-
-
 def _partners(distance: str, cutoff: float, more: set[int]):
     """Values of the left group with a partner among the right one's values of a column they ask for; without one too in the columns ``more``."""
 
@@ -215,8 +150,7 @@ def fuzzy_scores(p: Profile, distance: str = "levenshtein", threshold: float = 0
     Distinct values are compared once, whatever number of columns holds them.
     """
     p = Profile(p.columns, materialize(p.counts, "counts"))  # read several times
-    matched = matched_values if distance in MEASURES else _matched_in_blocks
-    return _semi_scores(p, matched(p, distance, threshold), alpha, beta)
+    return _semi_scores(p, matched_values(p, distance, threshold), alpha, beta)
 
 
 def _semi_scores(p: Profile, matched: DataFrame, alpha: float, beta: float) -> DataFrame:

@@ -2,14 +2,16 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from colmatch.functions import batches
 from colmatch.functions import expressions as X
 from colmatch.functions.names import DISTANCES
 from colmatch.operators import jaccard
 from colmatch.sources import profile
 
-BATCHED = ["levenshtein", "hamming"]
+BATCHED = ["levenshtein", "hamming", "damerau_levenshtein", "jaro", "jaro_winkler"]
 
 
 def texts(seed, n):
@@ -17,6 +19,21 @@ def texts(seed, n):
     return ["".join(rng.choice("abcé\U0001F600") for _ in range(rng.choice([1, 2, 3, 5, 9, 14]))) for _ in range(n)]
 
 
+@pytest.mark.parametrize("distance", BATCHED)
+def test_batches_equal_plain_measures(distance):
+    x, y = (np.array([*texts(k, 1500), "a" * 300, "CA", "a\0", "abcd"], dtype=object) for k in (3, 4))
+    y[:700] = ["".join(random.Random(k).sample(v, len(v))) for k, v in enumerate(x[:700])]
+    assert batches.similarities(distance, x, y).tolist() == [DISTANCES[distance](v, w) for v, w in zip(x, y)]
+
+
+def test_a_value_with_a_partner_is_compared_with_few(monkeypatch):
+    compared, measure = [], batches.similarities
+    monkeypatch.setattr(batches, "similarities", lambda d, x, y: compared.append(len(x)) or measure(d, x, y))
+    rng = random.Random(6)
+    x, y = (np.array([f"{name}#{rng.randrange(10 ** 6):09d}" for _ in range(3000)], dtype=object) for name in ("Customer", "Supplier"))
+    assert batches.partnered("jaro_winkler", 0.65, x, y).all() and sum(compared) < 10 * len(x)
+
+
 def tables(spark):
     return profile.from_fields(spark, [("s", [("x", "text", texts(1, 60)), ("w", "text", ["zzzzzzzzzzzzzzzzzzzz"])]), ("t", [("y", "text", texts(2, 40)), ("v", "text", [])]), ("u", [("z", "text", ["abc", "cab"])])])
 
